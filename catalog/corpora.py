@@ -11,6 +11,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.session import spread
+
 SPARK = {
     "k": "cast(get_json_object(props, '$.k') as bigint)",
     "day": "date_format(ts, 'yyyy-MM-dd')",
@@ -73,8 +75,8 @@ _SERVICES = [
 ]
 
 
-def event_lines_sql(d: dict[str, str], table: str = "events") -> tuple[str, int]:
-    """Select of ``log_id, event_id`` and the event's lines ``l0, l1, ...``, with their number."""
+def event_line_selects(d: dict[str, str]) -> list[list[str]]:
+    """Nested select lists over ``events``; the last yields the lines ``l0, l1, ...``."""
     iso = "(day || 'T' || clock || '.' || millis || 'Z')"
     comma = "(day || ' ' || clock || ',' || millis)"
     error = "event_type = 'error'"
@@ -84,17 +86,16 @@ def event_lines_sql(d: dict[str, str], table: str = "events") -> tuple[str, int]
         "when event_type = 'click' and k % 2 = 0 then 'DEBUG' "
         "when event_type = 'signup' then 'NOTICE' else 'INFO' end)"
     )
-    inner = (
-        f"select 'user-' || user_id as log_id, event_id, event_type, {d['k']} as k, "
-        f"{d['day']} as day, {d['clock']} as clock, {d['millis']} as millis, "
-        f"{d['clf']} as clf, {d['syslog']} as syslog from {table}"
-    )
-    named = (
-        f"select *, {level} as level, case when {error} then {_case('k', _ERRORS)} "
-        f"else {_case('k', _NOTES)} end as msg, {_case('k', _SERVICES)} as svc from ({inner}) e"
-    )
+    inner = ["'user-' || user_id as log_id", "event_id", "event_type"]
+    inner += [f"{d[name]} as {name}" for name in ("k", "day", "clock", "millis", "clf", "syslog")]
+    named = [
+        "*",
+        f"{level} as level",
+        f"case when {error} then {_case('k', _ERRORS)} else {_case('k', _NOTES)} end as msg",
+        f"{_case('k', _SERVICES)} as svc",
+    ]
     status = "(case when event_type = 'error' then 500 + k % 5 when event_type = 'click' then 400 + k % 5 else 200 end)"
-    trace = "case when event_type = 'error' then {} end"
+    trace = f"case when {error} and event_id % 10 = 8 then "
     first = _case(
         "event_id",
         [
@@ -112,34 +113,36 @@ def event_lines_sql(d: dict[str, str], table: str = "events") -> tuple[str, int]
             "when k % 3 = 0 then 'Task exited with return code ' || (k % 4) else 'Marking task as SUCCESS' end || ' dag=d' || k",
         ],
     )
-    f8 = "event_id % 10 = 8"
     rest = [
-        f"case when {f8} then {trace.format(chr(39) + 'Traceback (most recent call last):' + chr(39))} "
-        "when event_id % 10 = 1 and event_type = 'error' then '   detail: shard ' || k end",
-        f"case when {f8} then {trace.format(chr(39) + '  File ' + chr(39) + ' || chr(34) || ' + chr(39) + '/opt/app/write.py' + chr(39) + ' || chr(34) || ' + chr(39) + ', line ' + chr(39) + ' || k || ' + chr(39) + ', in <module>' + chr(39))} end",
-        f"case when {f8} then {trace.format('chr(9) || ' + chr(39) + 'import pyarrow.parquet as pq' + chr(39))} end",
-        f"case when {f8} then {trace.format(chr(39) + 'ModuleNotFoundError: No module named pkg' + chr(39) + ' || (k % 7)')} end",
+        f"{trace}'Traceback (most recent call last):' "
+        f"when event_id % 10 = 1 and {error} then '   detail: shard ' || k end",
+        f"{trace}'  File \"/opt/app/write.py\", line ' || k || ', in <module>' end",
+        f"{trace}chr(9) || 'import pyarrow.parquet as pq' end",
+        f"{trace}'ModuleNotFoundError: No module named pkg' || (k % 7) end",
         "case when event_id % 17 = 0 then '   ' end",
         "case when event_id % 23 = 0 then 'Caused by: upstream reset' end",
     ]
     lines = [first, *rest]
-    columns = ", ".join(f"{line} as l{i}" for i, line in enumerate(lines))
-    return f"select log_id, event_id, {columns} from ({named}) n", len(lines)
+    return [inner, named, ["log_id", "event_id", *[f"{x} as l{i}" for i, x in enumerate(lines)]]]
+
 
+LINES_PER_EVENT = 7
 
-def _table(sf_dir: str, name: str) -> str:
-    return f"parquet.`{sf_dir}/{name}.parquet`"
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(log_id, pos, line_number, raw)``: one log per user, in time order."""
-    sql, n = event_lines_sql(SPARK, _table(sf_dir, "events"))
-    rendered = spark.sql(sql)
+    rendered = _table(spark, sf_dir, "events")
+    for select in event_line_selects(SPARK):
+        rendered = rendered.selectExpr(*select)
     return (
         rendered.select(
             "log_id",
             "event_id",
-            F.posexplode(F.array(*[f"l{i}" for i in range(n)])).alias("i", "raw"),
+            F.posexplode(F.array(*[f"l{i}" for i in range(LINES_PER_EVENT)])).alias("i", "raw"),
         )
         .where("trim(raw) != ''")
         .select(
@@ -152,13 +155,15 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_lines_cte() -> str:
-    sql, n = event_lines_sql(DUCKDB)
+    table = "events"
+    for i, select in enumerate(event_line_selects(DUCKDB)):
+        table = f"(select {', '.join(select)} from {table}) as r{i}"
     parts = " union all ".join(
         f"select log_id, event_id * {SLOTS} + {i} as pos, event_id * {SLOTS} + {i} + 1 as line_number, "
         f"l{i} as raw from rendered where trim(l{i}) <> ''"
-        for i in range(n)
+        for i in range(LINES_PER_EVENT)
     )
-    return f"rendered as materialized ({sql}), event_lines as ({parts})"
+    return f"rendered as materialized (select * from {table}), event_lines as ({parts})"
 
 
 # One tail per document, so whole texts carry markers, blanks and odd line ends.
@@ -177,15 +182,17 @@ _TAILS = [
     f"{_NL} || 'ImportError: no pkg' || {_NL} || 'Task exited with return code 1'",
     f"{_NL} || 'process ended, exit code 3'",
 ]
-DOC_LOG_COLUMNS = f"'doc-' || doc_id as log_id, doc_id, text || {_case('doc_id', _TAILS)} as text"
+DOC_LOG_COLUMNS = [
+    "'doc-' || doc_id as log_id", "doc_id", f"text || {_case('doc_id', _TAILS)} as text"
+]
 
 
 def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(log_id, doc_id, text)``: every document as one whole log text."""
-    return spark.sql(f"select {DOC_LOG_COLUMNS} from {_table(sf_dir, 'documents')}")
+    return _table(spark, sf_dir, "documents").selectExpr(*DOC_LOG_COLUMNS)
 
 
-DOC_LOGS_CTE = f"doc_logs as materialized (select {DOC_LOG_COLUMNS} from documents)"
+DOC_LOGS_CTE = f"doc_logs as materialized (select {', '.join(DOC_LOG_COLUMNS)} from documents)"
 DOC_LINES_CTE = (
     DOC_LOGS_CTE + ", doc_lines as materialized (select log_id, doc_id, cast(i - 1 as bigint) as pos, "
     "cast(i as bigint) as line_number, parts[i] as raw from (select log_id, doc_id, parts, "
@@ -203,24 +210,24 @@ SPELLINGS = [
     "'trace'", "'notice'", "'fail'", "'SEVERE'", "'debug'", "'Info'", "'error'", "'CRITICAL'",
     "''", "cast(null as varchar(9))", "'bogus'", "'5'", "chr(9) || 'error' || chr(10)", "'err or'", "'  '",
 ]
-LEVEL_SPELLINGS = f"event_id, {_case('event_id', SPELLINGS)} as spelling"
+LEVEL_SPELLINGS = ["event_id", f"{_case('event_id', SPELLINGS)} as spelling"]
 
 
 def level_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"select {LEVEL_SPELLINGS} from {_table(sf_dir, 'events')}")
+    return _table(spark, sf_dir, "events").selectExpr(*LEVEL_SPELLINGS)
 
 
-UPLOADS = (
-    "'up-' || doc_id as doc_id, "
-    + _case("doc_id", ["text", "''", "' ' || chr(10) || chr(9)", "chr(12288) || chr(8232)", "'. ' || text"])
-    + " as doc"
-)
+_UPLOADS = ["text", "''", "' ' || chr(10) || chr(9)", "{wide}", "'. ' || text"]
+UPLOADS = ["'up-' || doc_id as doc_id", _case("doc_id", _UPLOADS) + " as doc"]
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Spark's chr() knows single bytes only
-    sql = UPLOADS.replace("chr(12288) || chr(8232)", "'\\u3000' || '\\u2028'")
-    return spark.sql(f"select {sql} from {_table(sf_dir, 'documents')}")
+    wide = "'\\u3000' || '\\u2028'"
+    return _table(spark, sf_dir, "documents").selectExpr(*[c.format(wide=wide) for c in UPLOADS])
+
+
+UPLOADS_SQL = f"select {', '.join(UPLOADS)} from documents".format(wide="chr(12288) || chr(8232)")
 
 
 def mixed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +247,7 @@ def mixed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("object", '{"entries":["a line",{"msg":"m @"}]}'),
         ("text", '{"status":"PASS"} and more'),
     ]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % len(shapes)
     doc = F.coalesce(*[F.when(kind == i, F.lit(shape)) for i, (_, shape) in enumerate(shapes)])
     doc = F.replace(F.replace(doc, F.lit("@text"), "text"), F.lit("@"), F.col("doc_id").cast("string"))
@@ -257,7 +264,7 @@ def verdict_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"filename":null,"status":null}',
         '{"status":true,"filename":@}',
     ]
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = _table(spark, sf_dir, "labels")
     kind = F.col("doc_id") % len(shapes)
     doc = F.coalesce(*[F.when(kind == i, F.lit(shape)) for i, shape in enumerate(shapes)])
     status = F.when(F.col("quality") == 1, "pass").otherwise("Fail")
@@ -268,7 +275,7 @@ def verdict_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that are often wrong; toxic ones name logs that do not exist."""
     passed = F.col("quality") == 1
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+    return _table(spark, sf_dir, "labels").select(
         F.concat(
             F.when(F.col("toxic") == 1, "gone-").otherwise("doc-"), F.col("doc_id").cast("string")
         ).alias("log_id"),
@@ -286,7 +293,7 @@ def structured_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The first is an object that uses other field names each time, the second a
     plain line, the third something odd.
     """
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = _table(spark, sf_dir, "conversations")
     role, body, turn = F.col("role"), F.col("text"), F.col("turn")
 
     def obj(fixed: str, **named) -> "F.Column":
@@ -374,7 +381,7 @@ CANDIDATES = [
 
 def candidate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(log_id, attempt, content)``: reports about the document logs."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % len(CANDIDATES)
     attempts = F.coalesce(
         *[

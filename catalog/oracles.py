@@ -496,14 +496,14 @@ ORACLES: dict[str, str] = {
     "route_inputs": "select doc_id, case when doc_id % 13 in (2, 3, 7, 9, 11) then 'object' else 'text' end as origin, "
     "case when doc_id % 13 in (1, 2, 10) then 'verdict' when doc_id % 13 in (5, 11) then 'structured' when doc_id % 13 in (3, 7, 9) then 'reject' else 'raw' end as kind, "
     "case doc_id % 13 when 3 then 'unrecognized JSON shape' when 7 then 'not a JSON object' when 9 then 'not a JSON object' end as problem from documents",
-    "quarantine_empty": f"select doc_id, case when regexp_replace(doc, '{S}', '', 'g') = '' then 'uploaded file is empty' end as problem from (select {C.UPLOADS} from documents) u",
+    "quarantine_empty": f"select doc_id, case when regexp_replace(doc, '{S}', '', 'g') = '' then 'uploaded file is empty' end as problem from ({C.UPLOADS_SQL}) u",
     "extract_time": _line(TIME, "time"),
     "extract_short_level": _line(SHORT_LEVEL, "level"),
     "extract_level_token": _line(TOKEN_LEVEL, "level"),
     "infer_error": _with(BOTH, f"select log_id, line_number, raw from lines where {IS_ERROR}"),
     "infer_warning": _with(BOTH, f"select log_id, line_number, raw from lines where {IS_WARNING}"),
     "default_info": _line(LEVEL, "level"),
-    "normalize_level": f"select event_id, spelling, {normal('upper(' + strip('spelling') + ')')} as level from (select {C.LEVEL_SPELLINGS} from events) s",
+    "normalize_level": f"select event_id, spelling, {normal('upper(' + strip('spelling') + ')')} as level from (select {", ".join(C.LEVEL_SPELLINGS)} from events) s",
     "extract_source": _line(SOURCE, "source"),
     "clean_message": _with(ALL, "select log_id, line_number, message from parsed"),
     "parse_lines": _with(ALL, "select log_id, line_number, raw, time, source, level0 as level, message from parsed"),

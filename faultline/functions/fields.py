@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.regex import ANY_CASE, B_END, B_START, D, S, W_IN
+from faultline.functions.regex import extract, replace
 from faultline.functions.text import first_match, strip
 
 # ---- fixed values: shapes of times and sources, words that are no source ----
 
 TIME_SHAPES = (
-    rf"{D}{{4}}-{D}{{2}}-{D}{{2}}[T ]{D}{{2}}:{D}{{2}}:{D}{{2}}(?:[.,]{D}+)?(?:Z|[+-]{D}{{2}}:?{D}{{2}})?",
-    rf"{D}{{2}}/[A-Z][a-z]{{2}}/{D}{{4}}:{D}{{2}}:{D}{{2}}:{D}{{2}}(?: [+-]{D}{{4}})?",
-    rf"[A-Z][a-z]{{2}} [ {D}]{D} {D}{{2}}:{D}{{2}}:{D}{{2}}",
-    rf"{B_START}{D}{{2}}:{D}{{2}}:{D}{{2}}(?:[.,]{D}+)?{B_END}",
+    r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?",
+    r"\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}(?: [+-]\d{4})?",
+    r"[A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}",
+    r"\b\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\b",
 )
 
 SOURCE_SHAPES = (
-    rf"{ANY_CASE}{B_START}(?:service|svc|app|component|logger)[=:]{S}*([{W_IN}.\-]+)",
-    rf"\[([a-zA-Z][{W_IN}.\-]{{1,40}})\]",
-    rf"(?:ERROR|WARN(?:ING)?|INFO|DEBUG|CRITICAL|FATAL){S}+([a-zA-Z][{W_IN}.\-]{{1,40}}){S}+-{S}",
-    rf"\]{S}+([a-zA-Z][{W_IN}.\-]{{1,40}}){S}+-{S}",
+    r"(?i)\b(?:service|svc|app|component|logger)[=:]\s*([\w.\-]+)",
+    r"\[([a-zA-Z][\w.\-]{1,40})\]",
+    r"(?:ERROR|WARN(?:ING)?|INFO|DEBUG|CRITICAL|FATAL)\s+([a-zA-Z][\w.\-]{1,40})\s+-\s",
+    r"\]\s+([a-zA-Z][\w.\-]{1,40})\s+-\s",
 )
 # The loosest shape is trusted only near the start of the line.
-LEADING_SOURCE_SHAPE = rf"(?:^|{S})([a-z][{W_IN}\-]{{2,30}})(?:\[{D}+\])?:{S}"
+LEADING_SOURCE_SHAPE = r"(?:^|\s)([a-z][\w\-]{2,30})(?:\[\d+\])?:\s"
 LEADING_SOURCE_CHARS = 70
 
 NOT_SOURCES = (
@@ -35,8 +35,7 @@ NOT_SOURCES = (
 )
 
 LEADING_LEVEL_WORD = (
-    rf"{ANY_CASE}^(?:CRITICAL|FATAL|SEVERE|ERROR|ERR|WARNING|WARN|NOTICE|INFO|DEBUG|TRACE)"
-    rf"\]?{S}*[-:]?{S}+"
+    r"(?i)^(?:CRITICAL|FATAL|SEVERE|ERROR|ERR|WARNING|WARN|NOTICE|INFO|DEBUG|TRACE)\]?\s*[-:]?\s+"
 )
 TIME_PREFIX_CHARS = 8
 TIME_SEPARATORS = " -:[]"
@@ -50,15 +49,15 @@ def extract_time(raw: Column) -> Column:
 
 
 def _usable(candidate: Column) -> Column:
-    # '' is regexp_extract's "no match"
+    # an empty name means no match
     return F.when(~F.lower(candidate).isin("", *NOT_SOURCES), candidate)
 
 
 def extract_source(raw: Column) -> Column:
     """Emitter named by the first shape whose leftmost hit is a usable name."""
     head = F.substring(raw, 1, LEADING_SOURCE_CHARS)
-    hits = [F.regexp_extract(raw, shape, 1) for shape in SOURCE_SHAPES]
-    hits.append(F.regexp_extract(head, LEADING_SOURCE_SHAPE, 1))
+    hits = [extract(raw, shape, 1) for shape in SOURCE_SHAPES]
+    hits.append(extract(head, LEADING_SOURCE_SHAPE, 1))
     return F.coalesce(*[_usable(hit) for hit in hits])
 
 
@@ -69,4 +68,4 @@ def clean_message(raw: Column, time: Column) -> Column:
     message = F.when(
         time.isNotNull() & (at <= TIME_PREFIX_CHARS), F.ltrim(rest, F.lit(TIME_SEPARATORS))
     ).otherwise(raw)
-    return strip(F.regexp_replace(message, LEADING_LEVEL_WORD, ""))
+    return strip(replace(message, LEADING_LEVEL_WORD, ""))

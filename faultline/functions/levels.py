@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.regex import ANY_CASE, B_END, B_START, D, NOT_S, S, S_IN, W, W_IN
+from faultline.functions.regex import contains_any, matches
 from faultline.functions.text import first_match, none_if_empty, strip
 
 # ---- fixed values: level names, aliases and the patterns that find them ----
@@ -39,27 +39,22 @@ SHORT_LEVELS = {
     "T": "DEBUG",
 }
 
-SHORT_LEVEL = (
-    rf"{ANY_CASE}{B_START}(?:lvl|level|sev|severity){S}*[=:]{S}*([EWIDFCTN]){B_END}"
-)
+SHORT_LEVEL = r"(?i)\b(?:lvl|level|sev|severity)\s*[=:]\s*([EWIDFCTN])\b"
 LEVEL_TOKEN = (
-    rf"{ANY_CASE}(?:^|[{S_IN}\[\(:])(?:level[=:]{S}*)?"
+    r"(?i)(?:^|[\s\[\(:])(?:level[=:]\s*)?"
     r"(CRITICAL|CRIT|PANIC|EMERG|ALERT|FATAL|SEVERE|ERROR|ERR|WARNING|WARN|NOTICE|INFO|DEBUG|TRACE)"
-    rf"(?:[{S_IN}\]\):=,]|$)"
+    r"(?:[\s\]\):=,]|$)"
 )
-HTTP_5XX = rf'(?:"{S}*|status[=: ])(5{D}{{2}}){B_END}'
-HTTP_4XX = rf'(?:"{S}*|status[=: ])(4{D}{{2}}){B_END}'
-EXCEPTION_WORD = rf"{B_START}{W}+(?:Exception|Error){B_END}"
+HTTP_5XX = r'(?:"\s*|status[=: ])(5\d{2})\b'
+HTTP_4XX = r'(?:"\s*|status[=: ])(4\d{2})\b'
+EXCEPTION_WORD = r"\w(?:Exception|Error)\b"
 TRACEBACK_HEADER = "Traceback (most recent call last)"
-SEVERE_EVENT = (
-    rf"{ANY_CASE}out of memory|killed process|no space left on device|kernel panic|"
-    r"segmentation fault|segfault|read-only file system|i/o error"
-)
+SEVERE_EVENTS = (
+    "out of memory", "killed process", "no space left on device", "kernel panic",
+    "segmentation fault", "segfault", "read-only file system", "i/o error",
+)
 CONTINUATION = (
-    rf"{ANY_CASE}^{S}+{NOT_S}"
-    r"|^Traceback \(most recent call last\)"
-    r"|^Caused by:"
-    rf"|^{W}[{W_IN}.]*(?:Error|Exception){B_END}"
+    r"(?i)^(?:\s+\S|Traceback \(most recent call last\)|Caused by:|\w[\w.]*(?:Error|Exception)\b)"
 )
 
 # ---- end of fixed values ----
@@ -89,21 +84,25 @@ def extract_level_token(raw: Column) -> Column:
 
 def looks_like_error(raw: Column) -> Column:
     """HTTP 5xx, an exception name, a traceback header or a severe system event."""
-    # The substring tests are cheap and spare most lines the exception regex.
-    names_exception = (raw.contains("Exception") | raw.contains("Error")) & raw.rlike(
-        EXCEPTION_WORD
+    # The substring tests are cheap and spare most lines the regexes.
+    names_exception = (raw.contains("Exception") | raw.contains("Error")) & matches(
+        raw, EXCEPTION_WORD
     )
     return (
-        raw.rlike(HTTP_5XX)
+        (_may_hold_status(raw) & matches(raw, HTTP_5XX))
         | names_exception
         | raw.contains(TRACEBACK_HEADER)
-        | raw.rlike(SEVERE_EVENT)
+        | contains_any(raw, SEVERE_EVENTS)
     )
 
 
+def _may_hold_status(raw: Column) -> Column:
+    return raw.contains('"') | raw.contains("status")
+
+
 def looks_like_warning(raw: Column) -> Column:
     """HTTP 4xx."""
-    return raw.rlike(HTTP_4XX)
+    return _may_hold_status(raw) & matches(raw, HTTP_4XX)
 
 
 def infer_error(raw: Column) -> Column:
@@ -127,7 +126,7 @@ def line_level(raw: Column) -> Column:
 
 def is_continuation(raw: Column) -> Column:
     """Indented line, traceback header, ``Caused by:`` or leading exception name."""
-    return raw.rlike(CONTINUATION)
+    return matches(raw, CONTINUATION)
 
 
 def is_error(level: Column) -> Column:

@@ -1,13 +1,17 @@
-"""Building blocks for regular expressions with Unicode-aware classes.
+"""Regular expressions that mean the same on ASCII and on other text.
 
-Java's ``\\w``, ``\\s`` and ``\\b`` are ASCII or depend on the JDK version.  The
-fragments below name the classes explicitly, so a pattern means the same on
-every executor and on non-ASCII text.
+Patterns are written in plain notation.  In Java, ``\\w``, ``\\s``, ``\\d`` and
+``\\b`` are ASCII or depend on the JDK version, and their Unicode forms are
+slow.  So every pattern is used in two spellings: the plain one on lines that
+are pure ASCII, and one with explicit Unicode classes on all others.
 """
 
 from __future__ import annotations
 
-# White space of Unicode text: the characters of _SPACE, one by one.
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# White space of Unicode text.
 SPACE_CHARS = "".join(
     chr(c)
     for c in (
@@ -16,18 +20,73 @@ SPACE_CHARS = "".join(
     )
 )
 
-_WORD = r"\p{L}\p{N}_"
-_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
-D = r"\p{Nd}"  # one decimal digit
-W = f"[{_WORD}]"  # one word character
-W_IN = _WORD  # the same, inside a character class
-S = f"[{_SPACE}]"  # one blank
-S_IN = _SPACE
-NOT_S = f"[^{_SPACE}]"
-B_START = f"(?<!{W})"  # word boundary before a word character
-B_END = f"(?!{W})"  # word boundary after a word character
-ANY_CASE = "(?iu)"
-
 # Every line boundary of Unicode text, two-character form first.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+_ASCII = {"s": r"\s\x1c-\x1f"}
+_UNICODE = {
+    "d": r"\p{Nd}",
+    "w": r"\p{L}\p{N}_",
+    "s": r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000",
+}
+_WORD = f"[{_UNICODE['w']}]"
+_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def _spell(pattern: str, classes: dict[str, str], boundary: str) -> str:
+    out, in_class, chars = [], False, iter(pattern)
+    for char in chars:
+        if char == "\\":
+            name = next(chars)
+            if name == "b" and not in_class:
+                out.append(boundary)
+            elif name == "S":
+                out.append(f"[^{classes['s']}]")
+            elif name in classes:
+                out.append(classes[name] if in_class else f"[{classes[name]}]")
+            else:
+                out.append(char + name)
+            continue
+        in_class = (in_class or char == "[") and char != "]"
+        out.append(char)
+    return "".join(out)
+
+
+def ascii_regex(pattern: str) -> str:
+    return _spell(pattern, _ASCII, r"\b")
+
+
+def unicode_regex(pattern: str) -> str:
+    return _spell(pattern, _UNICODE, _BOUNDARY).replace("(?i", "(?iu", 1)
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def extract(text: Column, pattern: str, group: int = 0) -> Column:
+    """A group of the leftmost match; empty without a match."""
+    return F.when(
+        is_ascii(text), F.regexp_extract(text, ascii_regex(pattern), group)
+    ).otherwise(F.regexp_extract(text, unicode_regex(pattern), group))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    return F.when(is_ascii(text), text.rlike(ascii_regex(pattern))).otherwise(
+        text.rlike(unicode_regex(pattern))
+    )
+
+
+def replace(text: Column, pattern: str, value: str) -> Column:
+    return F.when(
+        is_ascii(text), F.regexp_replace(text, ascii_regex(pattern), value)
+    ).otherwise(F.regexp_replace(text, unicode_regex(pattern), value))
+
+
+def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a phrase occurs in any letter case."""
+    low = F.lower(text)
+    plain = F.lit(False)
+    for phrase in phrases:
+        plain = plain | low.contains(phrase)
+    return F.when(is_ascii(text), plain).otherwise(text.rlike("(?iu)" + "|".join(phrases)))

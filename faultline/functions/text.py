@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.regex import D, SPACE_CHARS
+from faultline.functions.regex import SPACE_CHARS, extract, replace
 
 MAX_EXCERPT_CHARS = 300
 MAX_SIGNATURE_CHARS = 160
@@ -22,7 +22,7 @@ def none_if_empty(text: Column) -> Column:
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost match of ``pattern``, or null (an empty match counts as none)."""
-    hit = F.regexp_extract(text, pattern, group)
+    hit = extract(text, pattern, group)
     return F.when(hit != "", hit)
 
 
@@ -37,6 +37,6 @@ def trim_excerpt(text: Column) -> Column:
 def message_signature(message: Column) -> Column:
     """Replace hex numbers, numbers and quoted strings, so repeats group together."""
     sig = F.regexp_replace(message, "0x[0-9a-fA-F]+", "<hex>")
-    sig = F.regexp_replace(sig, rf"{D}+(?:\.{D}+)*", "<n>")
+    sig = replace(sig, r"\d+(?:\.\d+)*", "<n>")
     sig = F.regexp_replace(sig, '"[^"]*"', '"<str>"')
     return F.substring(strip(sig), 1, MAX_SIGNATURE_CHARS)

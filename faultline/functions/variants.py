@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.regex import D
+from faultline.functions.regex import unicode_regex
 from faultline.functions.text import strip
 
-_INTEGER = rf"^[+-]?{D}+(?:_{D}+)*$"
-_WHOLE = rf"^[+-]?{D}+(?:_{D}+)*(?:\.0+)?$"
-_DECIMAL = rf"^[+-]?(?:{D}+(?:_{D}+)*\.?(?:{D}+(?:_{D}+)*)?|\.{D}+(?:_{D}+)*)(?:[eE][+-]?{D}+)?$"
+_INTEGER = unicode_regex(r"^[+-]?\d+(?:_\d+)*$")
+_WHOLE = unicode_regex(r"^[+-]?\d+(?:_\d+)*(?:\.0+)?$")
+_DECIMAL = unicode_regex(
+    r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?$"
+)
 
 
 def parse_document(text: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.regex import extract, matches
+
 
 # ---- fixed values: end-of-run markers and category patterns, in order ----
 
@@ -14,7 +16,7 @@ PASS_MARKERS = ("Marking task as SUCCESS", "Task exited with return code 0")
 FAIL_MARKERS = (
     "Marking task as FAILED",
     "Task failed with exception",
-    r"Task exited with return code [1-9]\p{Nd}*",
+    r"Task exited with return code [1-9]\d*",
 )
 
 CATEGORIES = (
@@ -26,7 +28,7 @@ CATEGORIES = (
     ("PERMISSION_ERROR", (r"permission denied", r"InsufficientPrivilege", r"forbidden", r"unauthorized")),
     ("MODULE_IMPORT_ERROR", (r"No module named", r"ImportError", r"ModuleNotFoundError")),
     ("TIMEOUT", (r"timed out", r"timeout", r"execution timeout", r"deadline exceeded")),
-    ("RETURN_CODE_FAILURE", (r"Task exited with return code [1-9]\p{Nd}*", r"exit code [1-9]\p{Nd}*")),
+    ("RETURN_CODE_FAILURE", (r"Task exited with return code [1-9]\d*", r"exit code [1-9]\d*")),
 )
 
 GENERIC_FAILURE = "FAILURE_GENERIC"
@@ -35,14 +37,14 @@ UNKNOWN = "UNKNOWN"
 # ---- end of fixed values ----
 
 
-def _any_of(patterns: Sequence[str]) -> str:
-    return "(?iu)" + "|".join(patterns)
+def _any_of(text: Column, patterns: Sequence[str]) -> Column:
+    return matches(text, "(?i)" + "|".join(patterns))
 
 
 def last_match(text: Column, patterns: Sequence[str]) -> Column:
     """Start of the last match of any pattern, from 0; -1 without a match."""
-    upto = F.regexp_extract(text, rf"(?isu)^(.*)(?:{'|'.join(patterns)})", 1)
-    return F.when(text.rlike(_any_of(patterns)), F.length(upto)).otherwise(-1).cast("bigint")
+    upto = extract(text, rf"(?is)^(.*)(?:{'|'.join(patterns)})", 1)
+    return F.when(_any_of(text, patterns), F.length(upto)).otherwise(-1).cast("bigint")
 
 
 def last_marker(logs: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def last_marker(logs: DataFrame) -> DataFrame:
 def category_rank(text: Column) -> Column:
     """Number (from 1) of the first category with a matching pattern, or null."""
     tests = [
-        F.when(text.rlike(_any_of(patterns)), number)
+        F.when(_any_of(text, patterns), number)
         for number, (_, patterns) in enumerate(CATEGORIES, start=1)
     ]
     return F.coalesce(*tests)
@@ -74,7 +76,7 @@ def first_category(logs: DataFrame) -> DataFrame:
     """Add the first category that matches anywhere in the text."""
     text = F.col("text")
     return logs.withColumn(
-        "category", _category(category_rank(text), text.rlike(_any_of(FAIL_MARKERS)))
+        "category", _category(category_rank(text), _any_of(text, FAIL_MARKERS))
     )
 
 

@@ -24,6 +24,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Let every core work on an input of too few splits, such as one small file.
+
+    Large inputs have more splits than there are cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder every executor shares.
 
