@@ -96,9 +96,7 @@ def event_line_selects(d: dict[str, str]) -> list[list[str]]:
     ]
     status = "(case when event_type = 'error' then 500 + k % 5 when event_type = 'click' then 400 + k % 5 else 200 end)"
     trace = f"case when {error} and event_id % 10 = 8 then "
-    first = _case(
-        "event_id",
-        [
+    formats = [
             f"{iso} || ' ' || level || ' [' || svc || '] ' || msg",
             f"{comma} || ' ' || level || ' app.' || svc || ' - ' || msg",
             "'10.0.0.' || k || ' - - [' || clf || ' +0000] \"GET /api/v1/' || event_type || '/' || event_id || ' HTTP/1.1\" ' || "
@@ -111,8 +109,7 @@ def event_line_selects(d: dict[str, str]) -> list[list[str]]:
             f"{iso} || ' [' || level || '] pipeline.' || svc || ' - Task ' || case when {error} then 'failed with exception' else 'started' end",
             f"{comma} || ' INFO airflow.task - ' || case when {error} and k % 2 = 0 then 'Marking task as FAILED' "
             "when k % 3 = 0 then 'Task exited with return code ' || (k % 4) else 'Marking task as SUCCESS' end || ' dag=d' || k",
-        ],
-    )
+    ]
     rest = [
         f"{trace}'Traceback (most recent call last):' "
         f"when event_id % 10 = 1 and {error} then '   detail: shard ' || k end",
@@ -122,8 +119,12 @@ def event_line_selects(d: dict[str, str]) -> list[list[str]]:
         "case when event_id % 17 = 0 then '   ' end",
         "case when event_id % 23 = 0 then 'Caused by: upstream reset' end",
     ]
-    lines = [first, *rest]
-    return [inner, named, ["log_id", "event_id", *[f"{x} as l{i}" for i, x in enumerate(lines)]]]
+    early, late = [
+        "case event_id % 10 " + " ".join(f"when {i} then {formats[i]}" for i in half) + " end"
+        for half in (range(5), range(5, 10))
+    ]
+    lines = [f"case when early is not null then early else {late} end", *rest]
+    return [inner, named, ["*", f"{early} as early"], ["log_id", "event_id", *[f"{x} as l{i}" for i, x in enumerate(lines)]]]
 
 
 LINES_PER_EVENT = 7

@@ -220,6 +220,10 @@ def infer_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(levels.looks_like_warning(F.col("raw"))).select("log_id", "line_number", "raw")
 
 
+def extract_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.extract_source(lines_of_both(spark, sf_dir)).drop("pos", "raw")
+
+
 def clean_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines(lines_of_both(spark, sf_dir)).select("log_id", "line_number", "message")
 
@@ -524,7 +528,7 @@ QUERIES: dict[str, Query] = {
     "infer_warning": infer_warning,
     "default_info": line_query("level", levels.line_level),
     "normalize_level": normalize_level,
-    "extract_source": line_query("source", fields.extract_source),
+    "extract_source": extract_source,
     "clean_message": clean_message,
     "parse_lines": parsed_lines,
     "coalesce_aliases": coalesce_aliases,

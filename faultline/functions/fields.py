@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.regex import extract, replace
@@ -48,17 +48,23 @@ def extract_time(raw: Column) -> Column:
     return F.coalesce(*[first_match(raw, shape) for shape in TIME_SHAPES])
 
 
-def _usable(candidate: Column) -> Column:
-    # an empty name means no match
-    return F.when(~F.lower(candidate).isin("", *NOT_SOURCES), candidate)
-
-
-def extract_source(raw: Column) -> Column:
-    """Emitter named by the first shape whose leftmost hit is a usable name."""
-    head = F.substring(raw, 1, LEADING_SOURCE_CHARS)
-    hits = [extract(raw, shape, 1) for shape in SOURCE_SHAPES]
-    hits.append(extract(head, LEADING_SOURCE_SHAPE, 1))
-    return F.coalesce(*[_usable(hit) for hit in hits])
+def extract_source(lines: DataFrame, raw: str = "raw", to: str = "source") -> DataFrame:
+    """Add the emitter named by the first shape whose leftmost hit is a usable name.
+
+    One projection per shape, each looking only where the ones before found
+    nothing: every regex runs at most once per line, and the generated methods
+    stay small enough to be compiled to machine code.
+    """
+    text = F.col(raw)
+    head = F.substring(text, 1, LEADING_SOURCE_CHARS)
+    shapes = [(text, shape) for shape in SOURCE_SHAPES] + [(head, LEADING_SOURCE_SHAPE)]
+    unusable = F.lower(to).isin("", *NOT_SOURCES)
+    for number, (part, shape) in enumerate(shapes):
+        hit = extract(part, shape, 1)
+        lines = lines.withColumn(
+            to, hit if number == 0 else F.when(unusable, hit).otherwise(F.col(to))
+        )
+    return lines.withColumn(to, F.when(~unusable, F.col(to)))
 
 
 def clean_message(raw: Column, time: Column) -> Column:

@@ -30,16 +30,16 @@ _UNICODE = {
     "s": r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000",
 }
 _WORD = f"[{_UNICODE['w']}]"
-_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
-def _spell(pattern: str, classes: dict[str, str], boundary: str) -> str:
+def _spell(pattern: str, classes: dict[str, str], start: str, end: str) -> str:
+    # A leading \b stands before a word character, any other one behind one.
     out, in_class, chars = [], False, iter(pattern)
     for char in chars:
         if char == "\\":
             name = next(chars)
             if name == "b" and not in_class:
-                out.append(boundary)
+                out.append(start if "".join(out) in ("", "(?i)") else end)
             elif name == "S":
                 out.append(f"[^{classes['s']}]")
             elif name in classes:
@@ -53,11 +53,11 @@ def _spell(pattern: str, classes: dict[str, str], boundary: str) -> str:
 
 
 def ascii_regex(pattern: str) -> str:
-    return _spell(pattern, _ASCII, r"\b")
+    return _spell(pattern, _ASCII, r"\b", r"\b")
 
 
 def unicode_regex(pattern: str) -> str:
-    return _spell(pattern, _UNICODE, _BOUNDARY).replace("(?i", "(?iu", 1)
+    return _spell(pattern, _UNICODE, f"(?<!{_WORD})", f"(?!{_WORD})").replace("(?i", "(?iu", 1)
 
 
 def is_ascii(text: Column) -> Column:

@@ -16,14 +16,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     A projection: no shuffle, and a column nobody reads is never computed.
     """
     raw = F.col("raw")
-    return (
-        lines.withColumn("time", extract_time(raw))
-        .withColumns(
-            {
-                "source": extract_source(raw),
-                "level": line_level(raw),
-                "message": clean_message(raw, F.col("time")),
-            }
-        )
-        .select(*ENTRY_FIELDS)
+    timed = lines.withColumn("time", extract_time(raw)).withColumns(
+        {"level": line_level(raw), "message": clean_message(raw, F.col("time"))}
     )
+    return extract_source(timed).select(*ENTRY_FIELDS)

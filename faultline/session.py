@@ -18,19 +18,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # the JVM compiles no larger methods to machine code
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
 
 
+_ONE_SPLIT_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Let every core work on an input of too few splits, such as one small file.
+    """Let every core work on an input that one task would read.
 
-    Large inputs have more splits than there are cores and stay as they are.
+    A file of one row group is read by one task, whatever its split count.
+    Inputs above the size of a split stay as they are: no shuffle of large data.
     """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if size < _ONE_SPLIT_BYTES else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

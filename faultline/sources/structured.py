@@ -104,13 +104,17 @@ def read_structured_entries(docs: DataFrame) -> DataFrame:
         return F.when(is_line, value).otherwise(F.when(is_object, F.col(name)))
 
     raw = F.col("raw")
-    return (
+    read = (
         coalesce_aliases(structured_items(docs))
         .withColumn("raw", F.when(is_object, raw).otherwise(F.col("item").cast("string")))
+        .withColumn("_line", F.when(is_line, raw))
         .withColumn("time", of_line("time", extract_time(raw)))
+    )
+    return (
+        extract_source(read, "_line", "_emitter")
         .withColumns(
             {
-                "source": of_line("source", extract_source(raw)),
+                "source": of_line("source", F.col("_emitter")),
                 "level": of_line("level", line_level(raw)),
                 "message": of_line("message", clean_message(raw, F.col("time"))),
                 "problem": F.when(is_object, F.col("problem")).when(
