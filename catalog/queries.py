@@ -18,8 +18,7 @@ from faultline.operators import reports as R
 from faultline.operators import search as SE
 from faultline.operators import stats as ST
 from faultline.operators.parse import parse_lines
-from faultline.operators.trace import inherit_trace_level
-from faultline.plans.reporting import analyze_logs, check_reports, raw_entries, text_entries
+from faultline.plans.reporting import analyze_logs, check_reports, parse_once
 from faultline.session import scratch_path, write_once
 from faultline.sources import raw_logs, routing, sinks, structured, verdicts
 
@@ -41,12 +40,12 @@ def lines_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_entries(C.event_lines(spark, sf_dir))
+    return parse_once(C.event_lines(spark, sf_dir))
 
 
-def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed once and written, for jobs that read the entries more than once."""
-    return write_once(event_entries(spark, sf_dir), "entries")
+def loud_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries that look at levels and at errors and warnings only."""
+    return parse_once(C.event_lines(spark, sf_dir), loud_only=True)
 
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +74,7 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.ranked_groups(event_entries(spark, sf_dir))
+    return G.ranked_groups(loud_entries(spark, sf_dir))
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +90,7 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_entries(C.doc_logs(spark, sf_dir))
+    return parse_once(raw_logs.split_lines(C.doc_logs(spark, sf_dir)))
 
 
 def doc_log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +264,7 @@ def quarantine_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_errors_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.filter_errors_warnings(event_entries(spark, sf_dir))
+    return G.filter_errors_warnings(loud_entries(spark, sf_dir))
 
 
 def search_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,13 +280,13 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inherit_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = inherit_trace_level(parse_lines(lines_of_both(spark, sf_dir)))
+    entries = parse_once(lines_of_both(spark, sf_dir), loud_only=True)
     return entries.select("log_id", "line_number", "level")
 
 
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Around the first error of each log, and one number that no log has."""
-    entries = stored_entries(spark, sf_dir)
+    entries = event_entries(spark, sf_dir)
     first = (
         entries.where(levels.is_error(F.col("level")))
         .groupBy("log_id")
@@ -298,23 +297,23 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.first_samples(event_entries(spark, sf_dir))
+    return G.first_samples(loud_entries(spark, sf_dir))
 
 
 def log_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.log_stats(event_logs(spark, sf_dir), event_entries(spark, sf_dir))
+    return ST.log_stats(event_logs(spark, sf_dir), loud_entries(spark, sf_dir))
 
 
 def log_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.log_overview(event_entries(spark, sf_dir))
+    return ST.log_overview(loud_entries(spark, sf_dir))
 
 
 def error_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_groups(G.error_groups(event_entries(spark, sf_dir)))
+    return flat_groups(G.error_groups(loud_entries(spark, sf_dir)))
 
 
 def error_group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_groups(G.error_group_report(event_entries(spark, sf_dir)))
+    return flat_groups(G.error_group_report(loud_entries(spark, sf_dir)))
 
 
 def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,7 +382,7 @@ def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The built-in report of every log."""
-    return analyze_logs(event_logs(spark, sf_dir), stored_entries(spark, sf_dir))
+    return analyze_logs(event_logs(spark, sf_dir), loud_entries(spark, sf_dir))
 
 
 def incident_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,7 +455,7 @@ def pick_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assemble_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate reports checked against the documents they speak about."""
-    entries = write_once(doc_entries(spark, sf_dir), "entries")
+    entries = doc_entries(spark, sf_dir)
     return flat_results(
         check_reports(doc_log_table(spark, sf_dir), entries, candidates(spark, sf_dir))
     )
@@ -469,7 +468,7 @@ def report_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cards_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every labelled log: its analysis if it has lines, else its verdict."""
     logs = event_logs(spark, sf_dir)
-    stats = ST.log_stats(logs, event_entries(spark, sf_dir))
+    stats = ST.log_stats(logs, loud_entries(spark, sf_dir))
     spare = R.verdict_only_report(logs.join(stats, "log_id"))
     cards = K.report_cards(analysis(spark, sf_dir)).where("stats.total_lines > 0")
     return flat_cards(K.cards_with_fallback(logs, cards, K.report_cards(spare)))
@@ -502,15 +501,15 @@ def audit_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PR.error_onset(stored_entries(spark, sf_dir))
+    return PR.error_onset(loud_entries(spark, sf_dir))
 
 
 def pre_onset_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PR.pre_onset_context(stored_entries(spark, sf_dir), 15)
+    return PR.pre_onset_context(event_entries(spark, sf_dir), 15)
 
 
 def triage_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PR.triage_class(event_logs(spark, sf_dir), event_entries(spark, sf_dir))
+    return PR.triage_class(event_logs(spark, sf_dir), loud_entries(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {

@@ -50,9 +50,8 @@ def grouped_levels(entries: DataFrame) -> DataFrame:
 
     Lines are reduced first inside chunks of a log, then inside spans of
     chunks, then per group: a list that is collected never holds more than one
-    chunk's lines or a few samples per chunk, however large the log is.  Lines
-    fresh from ``inherit_trace_level`` are already shuffled by log and chunk,
-    so the first step needs no shuffle of its own.
+    chunk's lines or a few samples per chunk, however large the log is.  Every
+    step aggregates inside the task before it shuffles.
     """
     loud = F.col("level").isin(*ERROR_LEVELS, *WARNING_LEVELS)
     timed = F.struct("pos", "time")

@@ -17,9 +17,12 @@ def inherit_trace_level(entries: DataFrame, chunk_lines: int = CHUNK_LINES) -> D
     holds a whole log.  Within a chunk a running maximum of ``position * 8 +
     level`` finds the last line that is no continuation.  What a chunk needs
     from earlier ones is a single number per chunk; that small table is joined
-    on the key the chunks are already shuffled by.
+    on the key the chunks are already shuffled by.  ``entries`` is read twice,
+    so parsed lines should be stored first (``parse_once``).
     """
-    continuation = (F.col("level") == "INFO") & is_continuation(F.col("raw"))
+    continuation = (F.col("level") == "INFO") & F.coalesce(
+        is_continuation(F.col("raw")), F.lit(False)
+    )
     code = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
     marked = entries.withColumns(
         {

@@ -15,14 +15,22 @@ from faultline.session import write_once
 from faultline.sources.raw_logs import split_lines
 
 
-def raw_entries(lines: DataFrame) -> DataFrame:
+def raw_entries(lines: DataFrame, loud_only: bool = False) -> DataFrame:
     """Entries of numbered raw lines, stack traces included."""
-    return inherit_trace_level(parse_lines(lines))
+    return inherit_trace_level(parse_lines(lines, loud_only))
 
 
-def text_entries(logs: DataFrame) -> DataFrame:
+def text_entries(logs: DataFrame, loud_only: bool = False) -> DataFrame:
     """Entries of ``(log_id, text)``."""
-    return raw_entries(split_lines(logs))
+    return raw_entries(split_lines(logs), loud_only)
+
+
+def parse_once(lines: DataFrame, loud_only: bool = False) -> DataFrame:
+    """``raw_entries`` over stored lines: every line is parsed once, without a shuffle.
+
+    Each later step reads just the columns it needs.
+    """
+    return inherit_trace_level(write_once(parse_lines(lines, loud_only), "lines"))
 
 
 def analyze_logs(logs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -30,7 +38,8 @@ def analyze_logs(logs: DataFrame, entries: DataFrame) -> DataFrame:
 
     Entries are reduced to ten groups per log in one pass; that small table is
     written once, because counts, incidents and status all read it.  Only the
-    few cited lines are looked up in the entries again.
+    few cited lines are looked up in the entries again, and those are errors or
+    warnings, so entries parsed with ``loud_only`` will do.
     """
     ranked = write_once(ranked_groups(entries), "groups")
     stats = ranked.where("rank = 1").select(
