@@ -55,17 +55,20 @@ def analyze_logs(logs: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def check_reports(logs: DataFrame, entries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Reports written elsewhere, ``(log_id, attempt, content)``, made safe to publish."""
-    picked = R.pick_attempt(R.validate_report(R.extract_report_json(candidates)))
-    counted = log_stats(logs, entries).where("total_lines > 0")
+    """Reports written elsewhere, ``(log_id, attempt, content)``, made safe to publish.
+
+    The picked reports and the counts, one row per log each, are written once:
+    several branches read them.
+    """
+    checked = R.validate_report(R.extract_report_json(candidates))
+    picked = write_once(R.pick_attempt(checked), "picked")
+    counted = write_once(log_stats(logs, entries).where("total_lines > 0"), "counts")
     known = logs.select("log_id", "log_source").join(counted, "log_id")
     answered = known.join(picked.drop("incidents"), "log_id", "left")
     incidents = R.penalize_unverified(
         R.verify_evidence(R.report_incidents(picked.where("attempt IS NOT NULL")), entries)
     )
-    valid = R.assemble_result(
-        answered.where("attempt IS NOT NULL"), incidents
-    )
+    valid = R.assemble_result(answered.where("attempt IS NOT NULL"), incidents)
     reason = F.when(F.col("tried"), "malformed").otherwise("unreached")
     unanswered = (
         known.join(picked.select("log_id", "attempt", F.lit(True).alias("tried")), "log_id", "left")
