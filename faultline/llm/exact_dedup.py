@@ -1,9 +1,10 @@
 """Exact dedup by distributed MSD radix partitioning.
 
 Documents are split by successive runs of bytes.  A round groups the open
-documents by (group so far, next bytes, ended here); Spark combines each group
+documents by (group so far, next bytes, length); Spark combines each group
 before the shuffle, so a group with a third of all rows is a few rows per task.
-Groups of one are settled, groups whose texts end in this run are equal texts,
+Groups of one are settled, groups whose texts end in this run are equal texts
+(the length says where a text ends, so it is part of the key),
 the rest go on with a longer run.  No digest decides equality: two documents
 share a group exactly if all bytes read so far are the same.
 """
@@ -50,19 +51,21 @@ def radix_groups(
         keyed = open_rows.withColumns(
             {
                 "_next": F.expr(f"substring(cast(text AS binary), {at + 1}, {width})"),
-                "_ended": F.octet_length("text") <= at + width,
+                "_length": F.octet_length("text"),
             }
         )
         groups = write_once(
-            keyed.groupBy("group_id", "_next", "_ended")
+            keyed.groupBy("group_id", "_next", "_length")
             .agg(F.count(F.lit(1)).alias("_size"), F.max("doc_id").alias("_keep"))
             .where("_size > 1")
             .withColumn("_group", F.monotonically_increasing_id()),
             "radix-groups",
         )
-        going_on = F.coalesce(~F.col("_ended") & F.col("_size").isNotNull(), F.lit(False))
+        ended = F.col("_length") <= at + width
+        going_on = ~ended & F.col("_size").isNotNull()
         rows = write_once(
-            keyed.join(groups, ["group_id", "_next", "_ended"], "left").select(
+            # the groups grow with the corpus: one plan at every size, whose hot keys Spark splits
+            keyed.join(groups.hint("merge"), ["group_id", "_next", "_length"], "left").select(
                 "doc_id",
                 "carried",
                 (F.col("text") if keep_text else F.when(going_on, F.col("text"))).alias("text"),
@@ -76,7 +79,7 @@ def radix_groups(
             "radix-rows",
         )
         settled.append(rows.where("NOT _open").drop("_open"))
-        if groups.where("NOT _ended").isEmpty():
+        if groups.where(~ended).isEmpty():
             break
         open_rows = rows.where("_open").select("doc_id", "carried", "text", "group_id", "text_sha256")
         at, width = at + width, width * growth
