@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, sharding, token_files, urls, warc
+from faultline.llm import bpe, minhash, sharding, token_files, urls, warc
 from faultline.llm import exact_dedup as exact
 from faultline.llm import toxicity as toxic
 from faultline.llm.common import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,6 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_token_files": op2_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
+    "op1_minhash": minhash.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
     "op8_warc": warc.ORACLE,
 }
