@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, minhash, sharding, token_files, urls, warc
+from faultline.llm import bpe, minhash, sharding, substring_dedup, token_files, urls, warc
 from faultline.llm import exact_dedup as exact
 from faultline.llm import toxicity as toxic
 from faultline.llm.common import table
@@ -33,6 +33,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_warc": op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_minhash": minhash.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
 }
