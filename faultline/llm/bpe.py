@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from faultline.llm.common import text_of
 from faultline.llm.units import Units
@@ -134,6 +135,26 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, ids array<int>")
 
 
+def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` with ``ids`` behind its columns, checked by decoding them; a column ``ids`` is replaced."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, units = _worker(path, pattern)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            coded = units.encode_texts(texts)
+            for text, ids in zip(texts, coded, strict=True):
+                if pairs.decode(np.frombuffer(ids, "<u4").tolist()) != text.encode("utf-8", "surrogatepass"):
+                    raise ValueError("ids do not decode to the text")
+            offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype("int32")
+            values = np.frombuffer(b"".join(coded), "<u4").astype("int32")
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+
+    plain = docs.drop("ids")
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+
+
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row of ``encode``: ``doc_id, bytes``, the decoded bytes.  Null ids give empty bytes."""
 
