@@ -136,6 +136,13 @@ def _in_earlier_blocks(table: pa.Table) -> pa.Table:
     return _answer(hashes[later], blocks[later])
 
 
+def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -203,7 +210,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         going: dict[str, list] = {k: [] for k in ("block", "doc_id", "text")}
         wanted = []
         for doc_id, text, key, words, (own_hashes, anchors) in zip(left["doc_id"].to_pylist(), left["text"], left["block"].to_pylist(), split, found, strict=True):
-            hit = np.isin(anchors, live) if key is not None else np.zeros(len(anchors), bool)
+            hit = _member(anchors, live) if key is not None else np.zeros(len(anchors), bool)
             if hit.any():
                 wanted.append(np.unique(own_hashes[hit]))
                 for k, v in (("block", key), ("doc_id", doc_id), ("text", text.as_py())):
@@ -242,7 +249,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         first_id = owner[order][first]
         rows: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")}
         for doc_id, words, own_hashes in zip(ids, split, found, strict=True):
-            has = np.isin(own_hashes, references)
+            has = _member(own_hashes, references)
             if len(own_hashes):
                 has |= first_id[np.searchsorted(values, own_hashes)] < doc_id
             gone = np.zeros(len(words), bool)
