@@ -5,7 +5,8 @@ minima are its signature, runs of ``ROWS`` minima its bands.  Documents that
 share a band are candidates.  With 32 bands of 4 rows two sets of similarity
 0.8 share none with a probability of 5e-8.  Candidates are verified by their
 signatures, then on the full sets.  No bucket is paired with itself at first:
-its members meet three leaders each, and only members that are still in
+its members meet three leaders each, one of them the member with the fullest
+buckets (the likely original of a group of copies), and only members that are still in
 different components afterwards are compared with each other.
 """
 
@@ -25,7 +26,7 @@ from faultline.session import write_once
 
 BANDS, ROWS = 32, 4
 PERCENT = 80
-SURE_BELOW = 70  # of 128 equal minima: at similarity 0.8 fewer have a probability below 1e-11
+SURE_BELOW = 78  # of 128 equal minima: at similarity 0.8 fewer have a probability of about 2e-7
 U = np.uint64
 _rng = np.random.default_rng(20260105)
 FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -165,15 +166,21 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     )
     rows = bands.select("node", F.explode("bands").alias("key"))
 
-    def leader(k: int):
-        return F.min_by("node", F.xxhash64("node", F.lit(k)))
-
+    counts = write_once(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    full = write_once(rows.join(counts, "key"), "bucket-rows")
+    # what a group of copies was made from shares the most bands, so it is in the largest buckets
+    degrees = write_once(full.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
     leaders = write_once(
-        rows.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("l0"), leader(1).alias("l1"), leader(2).alias("l2"))
-        .where("n > 1"),
+        full.join(degrees, "node")
+        .groupBy("key")
+        .agg(
+            F.min("node").alias("l0"),
+            F.max_by("node", "degree").alias("l1"),
+            F.min_by("node", F.xxhash64("node", F.lit(1))).alias("l2"),
+        ),
         "buckets",
     )
+    rows = full.select("node", "key")
     stars = (
         rows.join(leaders, "key")
         .select("node", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("leader"))
@@ -187,9 +194,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
     # members of one bucket in different components: only these can still hold a link
     placed = write_once(
-        rows.join(leaders.select("key"), "key", "left_semi")
-        .join(joined, rows.node == joined.node, "left")
-        .select("key", rows.node.alias("node"), F.coalesce("component", rows.node).alias("component")),
+        rows.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")),
         "placed",
     )
     mixed = write_once(
