@@ -26,7 +26,8 @@ WIDTH = 1 << 15  # hashed words
 RANK, SPARE, POWER = 64, 16, 2  # of the SVD
 PASSAGE = 48  # words of a passage of an item; the last one of an item is as long
 WINDOW, STRIDE = 32, 8  # words of a window of a document
-COSINE = 0.35
+KNOWN_SHARE = 0.25  # of a window's squared IDF that must be on words of the benchmark
+COSINE = 0.55  # between window and passage in the latent space
 COMMON = 0.6  # share of a passage's words in the common subsequence
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 LEAST_WORDS = 8  # shorter passages are asked for in full
@@ -171,7 +172,6 @@ class Searcher:
             ranked = sorted(set(words), key=lambda w: (-self.idf[_place(w)], w))
             answers.append(set(ranked[:ANSWER_WORDS]))
         self.latent = np.array(latent, np.float32).reshape(-1, self.space.shape[1])
-        # the part of a passage outside the space is lost to both sides alike
         self.latent /= np.maximum(np.linalg.norm(self.latent, axis=1, keepdims=True), 1e-6)
         self.answers = answers
         return self
@@ -189,16 +189,16 @@ class Searcher:
         starts = np.arange(0, n - size + 1, STRIDE)
         if starts[-1] != n - size:
             starts = np.append(starts, n - size)
-        squares = np.concatenate([[0.0], np.cumsum(self.squares[places])])
-        norms = np.sqrt(np.maximum(squares[starts + size] - squares[starts], 1e-12))
+        weight = self.squares[places]
+        total = np.concatenate([[0.0], np.cumsum(weight)])
+        known = np.concatenate([[0.0], np.cumsum(weight * self.known[places])])
+        starts = starts[known[starts + size] - known[starts] >= KNOWN_SHARE * (total[starts + size] - total[starts])]
         found: list[tuple[int, int]] = []
-        for at in range(0, len(starts), 512):
-            some = starts[at : at + 512]
-            low, high = int(some[0]), int(some[-1]) + size
-            vectors = np.concatenate([np.zeros((1, self.rows.shape[1])), np.cumsum(self.rows[places[low:high]], axis=0, dtype=np.float64)])
-            sums = (vectors[some - low + size] - vectors[some - low]).astype(np.float32)
-            cosines = (sums / norms[at : at + 512, None].astype(np.float32)) @ self.latent.T
-            for w, p in zip(*np.nonzero(cosines >= COSINE), strict=True):
+        for at in range(0, len(starts), 256):
+            some = starts[at : at + 256]
+            vectors = self.rows[places[some[:, None] + np.arange(size)]].sum(axis=1)
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+            for w, p in zip(*np.nonzero(vectors @ self.latent.T >= COSINE), strict=True):
                 found.append((int(p), int(some[w])))
         return found
 
