@@ -165,11 +165,12 @@ class Searcher:
         self.squares = (self.idf**2).astype(np.float64)
         self.rows = (self.space * self.idf[:, None]).astype(np.float32)
         self.known = np.abs(self.rows).sum(axis=1) > 0
-        latent, answers = [], []
+        latent, answers, unseen = [], [], float(self.idf.max())
         for words in self.passages:
             places, values = _tf_idf(words, self.idf)
             latent.append(values @ self.space[places])
-            ranked = sorted(set(words), key=lambda w: (-self.idf[_place(w)], w))
+            # a word that no document holds cannot tell a copy from a rewording
+            ranked = sorted((w for w in set(words) if self.idf[_place(w)] < unseen), key=lambda w: (-self.idf[_place(w)], w))
             answers.append(set(ranked[:ANSWER_WORDS]))
         self.latent = np.array(latent, np.float32).reshape(-1, self.space.shape[1])
         self.latent /= np.maximum(np.linalg.norm(self.latent, axis=1, keepdims=True), 1e-6)
