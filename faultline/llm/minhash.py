@@ -6,8 +6,8 @@ share a band are candidates.  With 32 bands of 4 rows two sets of similarity
 0.8 share none with a probability of 5e-8.  Candidates are verified by their
 signatures, then on the full sets.  No bucket is paired with itself at first:
 its members meet three leaders each, one of them the member with the fullest
-buckets (the likely original of a group of copies), and only members that are still in
-different components afterwards are compared with each other.
+buckets (the likely original of a group of copies).  Members that are still in
+different components afterwards are compared in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from faultline.session import write_once
 
 BANDS, ROWS = 32, 4
 PERCENT = 80
+BLOCK_SHINGLES = 1 << 16  # of a block of documents that are compared together
+BLOCK_COLUMNS = 1 << 12  # shingles of two blocks that are compared at once
 SURE_BELOW = 78  # of 128 equal minima: at similarity 0.8 fewer have a probability of about 2e-7
 U = np.uint64
 _rng = np.random.default_rng(20260105)
@@ -146,6 +148,92 @@ def _links(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int) -> Da
     return write_once(_confirmed(near, texts, size), "links")
 
 
+def _near_members(left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Similar pairs of members ``(node, component, sorted shingles)`` in different components.
+
+    One pair for each member of ``left`` and component of ``right``.
+    """
+    sets = [[m[2] for m in side] for side in (left, right)]
+    shared = np.intersect1d(*(np.unique(np.concatenate(s)) for s in sets), assume_unique=True)
+    found = []
+    for some in sets:
+        values, owners = np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some])
+        places = np.searchsorted(shared, values)
+        known = places < len(shared)
+        known[known] = shared[places[known]] == values[known]
+        found.append((owners[known], places[known]))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(shared), BLOCK_COLUMNS):
+        width = min(BLOCK_COLUMNS, len(shared) - at)
+        grids = []
+        for some, (owners, places) in zip(sets, found, strict=True):
+            here = (places >= at) & (places < at + width)
+            grid = np.zeros((len(some), width), np.float32)
+            grid[owners[here], places[here] - at] = 1
+            grids.append(grid)
+        common += grids[0] @ grids[1].T
+    sizes = [np.array([len(x) for x in some]) for some in sets]
+    parts = [np.array([m[1] for m in side]) for side in (left, right)]
+    near = (100 * common >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - common)) & (parts[0][:, None] != parts[1][None, :])
+    seen = set()
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        if (i, right[j][1]) not in seen:
+            seen.add((i, right[j][1]))
+            yield left[i][0], right[j][0]
+
+
+def _links_between_blocks(open_rows: DataFrame, sizes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``a, b``: links between members of one bucket that lie in different components.
+
+    ``open_rows`` are ``key, node, component, fullest``.  Nodes are dealt into
+    blocks of about ``BLOCK_SHINGLES`` shingles: nodes with the same fullest
+    leader lie together, hashed over as many blocks as their sets need.  Two
+    blocks that meet in a bucket are compared as a whole on the full sets, so
+    no candidate pair is left out, and rows grow with blocks, not with pairs.
+    """
+    members = open_rows.groupBy("node").agg(F.min("component").alias("component"), F.max("fullest").alias("fullest")).join(sizes, "node")
+    members = members.select("node", "component", F.col("fullest.node").alias("anchor"), "n_shingles")
+    parts = members.groupBy("anchor").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("parts"))
+    block = F.struct("anchor", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    members = write_once(members.join(parts, "anchor").select("node", "component", block.alias("block")), "members")
+
+    met = write_once(open_rows.select("key", "node").join(members.select("node", "block"), "node").select("key", "block").distinct(), "met")
+    one, two = (met.select("key", F.col("block").alias(x)) for x in "ab")
+    pairs = write_once(
+        one.join(two, "key").where("a <= b").select("a", "b").distinct().withColumn("pair", F.monotonically_increasing_id()), "block-pairs"
+    )
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "found"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of().alias("text"))
+    texts = texts.join(members.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    sets = write_once(texts.mapInArrow(to_sets, "node bigint, found binary").join(members.hint("merge"), "node"), "member-sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sides = None, ([], [])
+
+        def links() -> pa.RecordBatch:
+            left, right = sides[0], sides[1] or sides[0]
+            found = list(_near_members(left, right)) if left else []
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for pair, side, node, component, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if pair != last:
+                    yield links()
+                    last, sides = pair, ([], [])
+                sides[side].append((node, component, np.frombuffer(found, U)))
+        yield links()
+
+    dealt = pairs.select("pair", F.posexplode(F.array_distinct(F.array("a", "b"))).alias("side", "block"))
+    rows = dealt.join(sets, "block").select("pair", "side", "node", "component", "found")
+    compared = rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a bigint, b bigint")
+    return write_once(compared.distinct(), "more-links")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -175,7 +263,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
         .groupBy("key")
         .agg(
             F.min("node").alias("l0"),
-            F.max_by("node", "degree").alias("l1"),
+            F.max(F.struct("degree", "node")).alias("fullest"),
             F.min_by("node", F.xxhash64("node", F.lit(1))).alias("l2"),
         ),
         "buckets",
@@ -183,7 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     rows = full.select("node", "key")
     stars = (
         rows.join(leaders, "key")
-        .select("node", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("leader"))
+        .select("node", F.explode(F.array_distinct(F.array("l0", "fullest.node", "l2"))).alias("leader"))
         .where("node <> leader")
         .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         .distinct()
@@ -200,22 +288,22 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     mixed = write_once(
         placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed"
     )
-    open_rows = placed.join(mixed, "key", "left_semi")
-    left = open_rows.select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-    right = open_rows.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
-    rest = (
-        left.join(right, "key")
-        .where("cx < cy")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    open_rows = write_once(placed.join(mixed, "key", "left_semi").join(leaders.select("key", "fullest"), "key"), "open-rows")
+    more = _links_between_blocks(open_rows, bands.select("node", "n_shingles"), docs, size)
+    # the late links join whole components, so only these are merged
+    ends = joined.select("node", "component")
+    late = (
+        more.join(ends.toDF("a", "ca"), "a", "left")
+        .join(ends.toDF("b", "cb"), "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     )
-    more = _links(rest, bands, docs, size)
-    final = write_once(components(links.unionByName(more)), "components")
-    classes = write_once(
-        nodes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component")),
-        "classes",
+    merged = write_once(components(late).toDF("component", "whole"), "merged")
+    final = (
+        nodes.join(joined, "node", "left")
+        .select("digest", F.coalesce("component", "node").alias("component"))
+        .join(merged, "component", "left")
     )
+    classes = write_once(final.select("digest", F.coalesce("whole", "component").alias("component")), "classes")
     return (
         known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
         .join(classes, "digest", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < _ONE_SPLIT_BYTES else df
 
 
+@cache
+def _local_root() -> str:
+    """One folder for all sessions of this process; the setting itself cannot change in a running session."""
+    return tempfile.mkdtemp(prefix="faultline-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder every executor shares.
 
@@ -50,8 +57,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set(_SETTING, root)
+        root = _local_root()
     return f"{root.rstrip('/')}/faultline/{name}-{uuid.uuid4().hex}"
 
 
