@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, decontamination, minhash, sharding, substring_dedup, token_files, urls, warc
+from faultline.llm import bpe, decontamination, minhash, pieces, sharding, substring_dedup, token_files, urls, warc
 from faultline.llm import exact_dedup as exact
 from faultline.llm import toxicity as toxic
 from faultline.llm.common import table
@@ -54,6 +54,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_files": op2_token_files,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash": minhash.ORACLE,
