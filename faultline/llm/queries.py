@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, decontamination, minhash, pieces, sharding, substring_dedup, token_files, urls, warc
+from faultline.llm import (
+    bpe,
+    conversation_repair,
+    decontamination,
+    minhash,
+    pieces,
+    prefix_trie,
+    sharding,
+    substring_dedup,
+    token_files,
+    urls,
+    warc,
+)
 from faultline.llm import exact_dedup as exact
 from faultline.llm import toxicity as toxic
 from faultline.llm.common import table
@@ -58,6 +70,14 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_files": op2_token_files,
@@ -70,10 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash": minhash.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
