@@ -102,7 +102,7 @@ CONT = (
 
 def signature(x: str) -> str:
     return (
-        f"left({strip(f'''regexp_replace(regexp_replace(regexp_replace({x}, '0x[0-9a-fA-F]+', '<hex>', 'g'), '{D}+(?:[.]{D}+)*', '<n>', 'g'), '\"[^\"]*\"', '\"<str>\"', 'g')''')}, 160)"
+        strip(f'''regexp_replace(regexp_replace(regexp_replace({x}, '0x[0-9a-fA-F]+', '<hex>', 'g'), '{D}+(?:[.]{D}+)*', '<n>', 'g'), '"[^"]*"', '"<str>"', 'g')''')
     )
 
 
@@ -154,7 +154,7 @@ TOTALS = (
 RANKED = (
     f"{EVENTS}, {GROUPS}, {TOTALS}, ordered as (select *, row_number() over (partition by log_id order by "
     f"case when {ERR} then 0 else 1 end, count desc, first_pos) as rank, count(*) over (partition by log_id) as n from groups), "
-    "ranked as materialized (select o.*, t.total_lines, t.error_lines, t.warning_lines from ordered o join totals t using (log_id) where rank <= 10)"
+    "ranked as materialized (select o.*, t.total_lines, t.error_lines, t.warning_lines from ordered o join totals t using (log_id))"
 )
 FLAT_GROUP = (
     "log_id, level, message_signature, count, array_to_string(sources, ', ') as sources, first_seen, last_seen, "
@@ -205,7 +205,7 @@ CAUSES = (
     f"case when {ERR} then 0 else 1 end, count desc, rank) as cause_rank from flagged)"
 )
 TITLED = (
-    f"{CAUSES}, titled as materialized (select *, coalesce(playbook_title, 'Repeated ' || lower(level) || 's: ' || left(sample, 60)) as title "
+    f"{CAUSES}, titled as materialized (select *, coalesce(playbook_title, 'Repeated ' || lower(level) || 's: ' || sample) as title "
     "from causes where level <> 'WARNING' or count >= 3)"
 )
 MERGED = (
@@ -219,7 +219,7 @@ MERGED = (
     "merged as materialized (select p.log_id, p.title, p.incident_rank, p.count, p.first_seen, p.last_seen, p.lines, p.any_critical, "
     "l.level as leader_level, l.count as leader_count, l.sample, l.known, l.playbook_title, l.total_lines, l.error_lines, "
     "coalesce(s.sources, []) as sources from placed p join led l on l.log_id = p.log_id and l.title = p.title and l.place = 1 "
-    "left join sourced s on s.log_id = p.log_id and s.title = p.title where incident_rank <= 3)"
+    "left join sourced s on s.log_id = p.log_id and s.title = p.title)"
 )
 SEVERITY = (
     "(case when any_critical then 'critical' when leader_level = 'WARNING' then case when leader_count >= 3 then 'medium' else 'low' end "
@@ -235,7 +235,7 @@ TEXT = (
     "'The logs show ' || count || ' occurrence(s) of this problem affecting ' || "
     "coalesce(nullif(array_to_string(sources, ', '), ''), 'the logs') || "
     "case when first_seen <> '' then ' between ' || first_seen || ' and ' || last_seen else '' end || "
-    "'. The recurring message looks like: \"' || left(sample, 120) || '\". This pattern usually means the service could not do its "
+    "'. The recurring message looks like: \"' || sample || '\". This pattern usually means the service could not do its "
     "normal work and requests started failing. The cited lines below are the concrete evidence.'"
 )
 REASON = "Occurrence of the failing pattern this incident is based on."
@@ -333,6 +333,23 @@ ANALYSIS = (
     f"union all select log_id, log_id || '.log', {verdict_status('status')}, {ZERO}, {verdict_rows('log_id || ' + q('.log'), 'status')} from logs where log_id like 'empty-%' and status is not null "
     f"union all select log_id, log_id || '.log', 'inconclusive', {ZERO}, {fixed_incident(*NO_ENTRIES)} from logs where log_id like 'empty-%' and status is null)"
 )
+
+
+def brief(sql: str) -> str:
+    """The same with the sizes of a short report."""
+    whole_to_short = {
+        signature("message"): f"left({signature('message')}, 160)",
+        " from ordered o join totals t using (log_id))": " from ordered o join totals t using (log_id) where rank <= 10)",
+        "|| sample) as title ": "|| left(sample, 60)) as title ",
+        "like: \"' || sample || ": "like: \"' || left(sample, 120) || ",
+        " and s.title = p.title)": " and s.title = p.title where incident_rank <= 3)",
+    }
+    for whole, short in whole_to_short.items():
+        assert whole in sql
+        sql = sql.replace(whole, short)
+    return sql
+
+
 CARD = (
     "{key}r.log_source as file_name, coalesce(upper(left(r.severity, 1)) || substring(r.severity, 2), 'Low') as severity, "
     "case when r.title is not null then r.title || case when c.n > 1 then ' (+' || (c.n - 1) || ' related finding' || case when c.n > 2 then 's' else '' end || ')' else '' end "
@@ -406,7 +423,7 @@ ACCEPTED = """accepted(v, incident_pos, title, severity, confidence, cites, sour
  (2, 1, 'Prose', 'medium', 0.25, [1], '', null), (3, 1, 'Second', 'low', 0.6, [2], '', null),
  (5, 1, 'A', 'low', 0.5, [1], '', null), (5, 2, 'B', 'critical', 0.4, [1], '', null), (5, 3, 'C', 'critical', 0.9, [2], '', null),
  (5, 4, 'D', 'high', 0.9, [3], '', null), (7, 1, 'Lost', 'high', 0.8, [999999], '', null), (8, 1, 'Lax', 'high', 0.5, [2, 1], '', null),
- (10, 1, 'Bare', 'low', 0.5, [], 'db, api', 't1'))"""
+ (9, 1, 'Late', 'low', 0.5, [1], '', null), (10, 1, 'Bare', 'low', 0.5, [], 'db, api', 't1'))"""
 NOTE = " (Note: the cited log lines could not be verified against the input, so treat this finding with caution.)"
 CHECKED = (
     f"{DOCS}, {ATTEMPTS}, {ACCEPTED}, docs as (select 'doc-' || doc_id as log_id, doc_id, doc_id % 13 as v from documents), "
@@ -471,7 +488,7 @@ def _batch(base: str, patterns: list[tuple[str, str]]) -> str:
     return _with(
         f"{base}, tagged as ({arms}), hits as (select log_id, pattern, pos, line_number, level, time, source, {excerpt('raw')} as raw from tagged), "
         "found as (select * exclude (pos), row_number() over (partition by log_id, pattern order by pos) as rank, count(*) over (partition by log_id, pattern) as total_matches from hits)",
-        "select * from found where rank <= 20",
+        "select * from found",
     )
 
 
@@ -553,16 +570,16 @@ ORACLES: dict[str, str] = {
     "error_groups": _with(f"{EVENTS}, {GROUPS}", f"select {FLAT_GROUP}, first_pos from groups"),
     "error_group_report": _with(
         RANKED,
-        f"select {FLAT_GROUP}, rank, total_lines, error_lines, warning_lines, greatest(0, n - 10)::bigint as groups_truncated from ranked",
+        f"select {FLAT_GROUP}, rank, total_lines, error_lines, warning_lines, 0::bigint as groups_truncated from ranked",
     ),
     "playbook_match": _with(MATCHED, f"select log_id, rank, sample, playbook_title, {_solutions_case()} as solutions from matched"),
     "known_cause_rank": _with(CAUSES, "select log_id, rank, known, cause_rank from causes"),
     "drop_noise_warnings": _with(RANKED, "select log_id, rank, level, count from ranked where level <> 'WARNING' or count >= 3"),
     "fallback_title": _with(TITLED, "select log_id, rank, cause_rank, title from titled"),
     "merge_incidents": _with(
-        MERGED,
+        f"{CITED}, listed as (select log_id, incident_rank, string_agg(n::varchar, ',' order by place) as line_numbers from evidence group by 1, 2)",
         "select log_id, incident_rank, title, leader_level, leader_count, count, array_to_string(sources, ', ') as sources, first_seen, last_seen, "
-        "array_to_string(lines::varchar[], ',') as line_numbers, any_critical from merged",
+        "line_numbers, any_critical from merged join listed using (log_id, incident_rank)",
     ),
     "incident_severity": _with(MERGED, f"select log_id, incident_rank, {SEVERITY} as severity from merged"),
     "incident_confidence": _with(MERGED, f"select log_id, incident_rank, {CONFIDENCE} as confidence from merged"),
@@ -570,6 +587,7 @@ ORACLES: dict[str, str] = {
     "incident_evidence": _with(CITED, f"select log_id, incident_rank, place, n as line_number, {q(REASON)} as why_relevant from evidence"),
     "overall_status": _with(STATUS, "select log_id, total_lines, error_lines, warning_lines, overall_status from status"),
     "incident_report": _with(ANALYSIS, "select * from report"),
+    "brief_report": _with(brief(ANALYSIS), "select * from report"),
     "write_results": _with(ANALYSIS, "select * from report"),
     "summary_line": _with(
         ANALYSIS,
@@ -598,16 +616,16 @@ ORACLES: dict[str, str] = {
     ),
     "pick_attempt": _with(
         f"{ATTEMPTS}, docs as (select doc_id, doc_id % 13 as v from documents)",
-        "select 'doc-' || doc_id as log_id, (min(attempt) filter (problem is null and attempt <= 2))::bigint as attempt, "
-        "any_value(overall_status) filter (problem is null and attempt <= 2) as overall_status from docs join attempts using (v) group by doc_id",
+        "select 'doc-' || doc_id as log_id, (min(attempt) filter (problem is null))::bigint as attempt, "
+        "(array_agg(overall_status order by attempt) filter (problem is null))[1] as overall_status from docs join attempts using (v) group by doc_id",
     ),
     "assemble_result": _with(
         CHECKED,
         f"select d.log_id, d.log_id || '.txt' as log_source, {PICKED_STATUS} as overall_status, total_lines, error_lines, warning_lines, s.place, s.title, s.severity, s.confidence, s.human_explanation, "
         "case when s.title is null then null else 'Look at doc ' || d.doc_id || '.' || chr(10) || 'Try again.' end as possible_solutions, s.sources as affected_sources, s.first_seen, cast(null as varchar) as last_seen, "
         "s.evidence_lines, s.evidence_text, s.evidence_times, s.evidence_sources, s.evidence_reasons "
-        "from docs d join totals using (log_id) left join sorted s on s.log_id = d.log_id and s.place < 3 where d.v not in (4, 9, 11, 12) "
-        f"union all select log_id, log_id || '.txt', 'inconclusive', total_lines, error_lines, warning_lines, {fixed_incident(*MALFORMED)} from docs join totals using (log_id) where v in (4, 9, 12) "
+        "from docs d join totals using (log_id) left join sorted s on s.log_id = d.log_id where d.v not in (4, 11, 12) "
+        f"union all select log_id, log_id || '.txt', 'inconclusive', total_lines, error_lines, warning_lines, {fixed_incident(*MALFORMED)} from docs join totals using (log_id) where v in (4, 12) "
         f"union all select log_id, log_id || '.txt', 'inconclusive', total_lines, error_lines, warning_lines, {fixed_incident(*UNREACHED)} from docs join totals using (log_id) where v = 11",
     ),
     "last_marker": _with(SCANNED, "select log_id, pass_pos, fail_pos from scanned"),
@@ -642,7 +660,7 @@ _SOURCES = (
 ORACLES["source_stats"] = _with(_SOURCES, "select * exclude (first_pos) from activity")
 ORACLES["source_report"] = _with(
     f"{_SOURCES}, placed as (select *, row_number() over (partition by log_id order by errors desc, total desc, first_pos) as rank, count(*) over (partition by log_id) as n from activity)",
-    "select * exclude (first_pos, n), greatest(0, n - 15)::bigint as sources_truncated from placed where rank <= 15",
+    "select * exclude (first_pos, n), 0::bigint as sources_truncated from placed",
 )
 _LABELLED = (
     "labelled as (select 'doc-' || doc_id as log_id, doc_id, case doc_id % 6 when 3 then 'classifier' when 4 then 'None' when 5 then doc_id::varchar else 'doc-' || doc_id || '.log' end as log_source, "

@@ -19,6 +19,7 @@ from faultline.operators import search as SE
 from faultline.operators import stats as ST
 from faultline.operators.parse import parse_lines
 from faultline.plans.reporting import analyze_logs, check_reports, parse_once
+from faultline.schemas import BRIEF
 from faultline.session import scratch_path, write_once
 from faultline.sources import raw_logs, routing, sinks, structured, verdicts
 
@@ -78,15 +79,12 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.playbook_match(G.filter_errors_warnings(ranked(spark, sf_dir)))
-
-
-def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.fallback_title(I.drop_noise_warnings(I.known_cause_rank(matched(spark, sf_dir))))
+    return I.playbook_match(ranked(spark, sf_dir))
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.merge_incidents(titled(spark, sf_dir))
+    entries = loud_entries(spark, sf_dir)
+    return I.merge_incidents(I.titled_groups(G.error_groups(entries)), ST.line_totals(entries))
 
 
 def doc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,12 +334,13 @@ def known_cause_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_noise_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = G.filter_errors_warnings(ranked(spark, sf_dir))
-    return I.drop_noise_warnings(groups).select("log_id", "rank", "level", "count")
+    return I.drop_noise_warnings(ranked(spark, sf_dir)).select("log_id", "rank", "level", "count")
 
 
 def fallback_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titled(spark, sf_dir).select("log_id", "rank", "cause_rank", "title")
+    causes = I.known_cause_rank(matched(spark, sf_dir))
+    titles = I.fallback_title(I.drop_noise_warnings(causes))
+    return titles.select("log_id", "rank", "cause_rank", "title")
 
 
 def merge_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,9 +374,9 @@ def incident_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = write_once(ranked(spark, sf_dir), "groups")
-    stats = groups.where("rank = 1").select("log_id", "total_lines", "error_lines", "warning_lines")
-    return I.overall_status(stats, I.build_incidents(groups))
+    entries = loud_entries(spark, sf_dir)
+    totals = write_once(ST.line_totals(entries), "totals")
+    return I.overall_status(totals, I.build_incidents(G.error_groups(entries), totals))
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +388,11 @@ def incident_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_results(analysis(spark, sf_dir))
 
 
+def brief_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short form: ten groups, three incidents, shortened titles and quotes per log."""
+    return flat_results(analyze_logs(event_logs(spark, sf_dir), loud_entries(spark, sf_dir), BRIEF))
+
+
 def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports written as JSON and read back."""
     path = scratch_path(spark, "results")
@@ -558,6 +562,7 @@ QUERIES: dict[str, Query] = {
     "incident_evidence": incident_evidence,
     "overall_status": overall_status,
     "incident_report": incident_report,
+    "brief_report": brief_report,
     "verify_evidence": verify_evidence,
     "penalize_unverified": penalize_unverified,
     "verdict_only_report": verdict_only_report,

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from faultline.functions.regex import SPACE_CHARS, extract, replace
 
 MAX_EXCERPT_CHARS = 300
-MAX_SIGNATURE_CHARS = 160
 
 
 def strip(text: Column) -> Column:
@@ -34,9 +33,17 @@ def trim_excerpt(text: Column) -> Column:
     ).otherwise(text)
 
 
-def message_signature(message: Column) -> Column:
-    """Replace hex numbers, numbers and quoted strings, so repeats group together."""
+def first_chars(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; None keeps all."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def message_signature(message: Column, chars: int | None = None) -> Column:
+    """Replace hex numbers, numbers and quoted strings, so repeats group together.
+
+    With ``chars``, messages that agree that far share a signature.
+    """
     sig = F.regexp_replace(message, "0x[0-9a-fA-F]+", "<hex>")
     sig = replace(sig, r"\d+(?:\.\d+)*", "<n>")
     sig = F.regexp_replace(sig, '"[^"]*"', '"<str>"')
-    return F.substring(strip(sig), 1, MAX_SIGNATURE_CHARS)
+    return first_chars(strip(sig), chars)

@@ -60,7 +60,7 @@ def report_cards(results: DataFrame) -> DataFrame:
         F.when(
             has_top,
             F.transform(
-                F.slice("incidents", 2, 2),
+                F.slice("incidents", F.lit(2), F.size("incidents") - 1),
                 lambda i: F.struct(
                     i["title"].alias("title"),
                     F.initcap(i["severity"]).alias("severity"),

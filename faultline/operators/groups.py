@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.levels import ERROR_LEVELS, WARNING_LEVELS, is_error, is_warning
+from faultline.functions.levels import ERROR_LEVELS, WARNING_LEVELS, is_error
 from faultline.functions.text import message_signature, trim_excerpt
-from faultline.operators.ranking import head, head_with_totals
+from faultline.operators.ranking import head, placed
+from faultline.operators.stats import line_totals
 from faultline.operators.trace import CHUNK_LINES
+from faultline.schemas import Limits
 
-MAX_GROUPS = 10
-MAX_SAMPLES = 5
 _CHUNKS_PER_SPAN = 1024
 _KEY = ["log_id", "level", "message_signature"]
 
@@ -20,68 +20,59 @@ def filter_errors_warnings(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("level").isin(*ERROR_LEVELS, *WARNING_LEVELS))
 
 
-def first_samples(entries: DataFrame, limit: int = MAX_SAMPLES) -> DataFrame:
+def first_samples(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """First lines of each group by position, one row per sample."""
     loud = filter_errors_warnings(entries).select(
         "log_id",
         "level",
-        message_signature(F.col("message")).alias("message_signature"),
+        message_signature(F.col("message"), limits.signature_chars).alias("message_signature"),
         "pos",
         "line_number",
     )
-    return head(loud, _KEY, [F.col("pos")], limit).drop("pos")
+    return head(loud, _KEY, [F.col("pos")], limits.samples).drop("pos")
 
 
-def _merge(parts: DataFrame, *by: str) -> DataFrame:
+def _merge(parts: DataFrame, samples: int, *by: str) -> DataFrame:
     return parts.groupBy(*_KEY, *by).agg(
         F.sum("count").alias("count"),
         F.min("first_entry").alias("first_entry"),
         F.min("first_timed").alias("first_timed"),
         F.max("last_timed").alias("last_timed"),
         F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, MAX_SAMPLES).alias(
-            "samples"
-        ),
+        F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, samples).alias("samples"),
     )
 
 
-def grouped_levels(entries: DataFrame) -> DataFrame:
-    """Error groups, plus one row per log and quiet level that only counts lines.
+def error_groups(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Error and warning groups: count, sources, time range, sample message and lines.
 
     Lines are reduced first inside chunks of a log, then inside spans of
     chunks, then per group: a list that is collected never holds more than one
     chunk's lines or a few samples per chunk, however large the log is.  Every
     step aggregates inside the task before it shuffles.
     """
-    loud = F.col("level").isin(*ERROR_LEVELS, *WARNING_LEVELS)
     timed = F.struct("pos", "time")
-    lines = entries.select(
+    lines = filter_errors_warnings(entries).select(
         "log_id",
         "level",
-        F.when(loud, message_signature(F.col("message"))).alias("message_signature"),
+        message_signature(F.col("message"), limits.signature_chars).alias("message_signature"),
         F.expr(f"pos div {CHUNK_LINES}").alias("_chunk"),
         "pos",
         "line_number",
         "time",
         "source",
-        F.when(loud, trim_excerpt(F.col("message"))).alias("message"),
+        trim_excerpt(F.col("message")).alias("message"),
     )
     in_chunk = lines.groupBy(*_KEY, "_chunk").agg(
         F.count("*").alias("count"),
-        F.min(F.when(loud, F.struct("pos", "message", "time"))).alias("first_entry"),
-        F.min(F.when(loud & F.col("time").isNotNull(), timed)).alias("first_timed"),
-        F.max(F.when(loud & (F.col("time") != ""), timed)).alias("last_timed"),
-        F.collect_set(F.when(loud & (F.col("source") != ""), F.col("source"))).alias("sources"),
-        F.slice(
-            F.array_sort(F.collect_list(F.when(loud, F.struct("pos", "line_number")))),
-            1,
-            MAX_SAMPLES,
-        ).alias("samples"),
+        F.min(F.struct("pos", "message", "time")).alias("first_entry"),
+        F.min(F.when(F.col("time").isNotNull(), timed)).alias("first_timed"),
+        F.max(F.when(F.col("time") != "", timed)).alias("last_timed"),
+        F.collect_set(F.when(F.col("source") != "", F.col("source"))).alias("sources"),
+        F.slice(F.array_sort(F.collect_list(F.struct("pos", "line_number"))), 1, limits.samples).alias("samples"),
     )
-    in_span = _merge(
-        in_chunk.withColumn("_span", F.expr(f"_chunk div {_CHUNKS_PER_SPAN}")), "_span"
-    )
-    return _merge(in_span).select(
+    spans = in_chunk.withColumn("_span", F.expr(f"_chunk div {_CHUNKS_PER_SPAN}"))
+    return _merge(_merge(spans, limits.samples, "_span"), limits.samples).select(
         *_KEY,
         "count",
         F.array_sort("sources").alias("sources"),
@@ -93,44 +84,23 @@ def grouped_levels(entries: DataFrame) -> DataFrame:
     )
 
 
-def error_groups(entries: DataFrame) -> DataFrame:
-    """Error and warning groups: count, sources, time range, sample message and lines."""
-    return grouped_levels(filter_errors_warnings(entries))
-
-
-def ranked_groups(entries: DataFrame) -> DataFrame:
-    """The ten leading groups per log with the log's totals.
-
-    Every log with entries keeps at least one row; in a log without errors and
-    warnings that is a quiet level, which still carries the totals.
-    """
-    groups = grouped_levels(entries)
-    error, warning = is_error(F.col("level")), is_warning(F.col("level"))
-    class_rank = F.when(error, 0).when(warning, 1).otherwise(2)
-    return head_with_totals(
-        groups,
-        ["log_id"],
-        [class_rank, F.col("count").desc(), F.col("first_pos"), F.col("level")],
-        MAX_GROUPS,
-        {
-            "total_lines": F.col("count"),
-            "error_lines": F.when(error, F.col("count")),
-            "warning_lines": F.when(warning, F.col("count")),
-            "group_count": F.when(error | warning, 1),
-        },
-        _signature_buckets(),
-    )
-
-
-def _signature_buckets() -> list:
-    fine = F.pmod(F.xxhash64("level", "message_signature"), F.lit(4096))
-    return [fine, F.pmod(fine, F.lit(64))]
+def ranked_groups(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Groups with their ``rank`` in the log: errors first, then count, then first appearance."""
+    order = [F.when(is_error(F.col("level")), 0).otherwise(1), F.col("count").desc(), F.col("first_pos")]
+    return placed(error_groups(entries, limits), ["log_id"], order, limits.groups)
 
 
-def error_group_report(entries: DataFrame) -> DataFrame:
-    """Groups by errors first, count, first appearance; ten per log, with totals."""
+def error_group_report(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Ranked groups with the log's line totals and the number of groups a limit left out."""
+    report = ranked_groups(entries, limits)
+    if limits.groups is None:
+        truncated = F.lit(0).cast("bigint")
+    else:
+        counted = error_groups(entries, limits).groupBy("log_id").agg(F.count("*").alias("_groups"))
+        report = report.join(counted, "log_id")
+        truncated = F.greatest(F.lit(0), F.col("_groups") - limits.groups)
     return (
-        filter_errors_warnings(ranked_groups(entries))
-        .withColumn("groups_truncated", F.greatest(F.lit(0), F.col("group_count") - MAX_GROUPS))
-        .drop("group_count", "first_pos")
+        report.join(line_totals(entries), "log_id")
+        .withColumn("groups_truncated", truncated)
+        .drop("_groups", "first_pos")
     )

@@ -1,12 +1,14 @@
-"""Error groups folded to at most three incidents per log.
+"""Error groups folded to incidents.
 
-The functions take the ten leading groups per log (``ranked_groups``), so all
-tables here are small and stay partitioned by log.
+An incident is a title; its groups are ordered by cause.  The order is a struct
+that every group carries, so a title's leading group, its totals and its lines
+are plain aggregates over (log, title), with partial sums inside each task, and
+no step looks at all groups of a log at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.levels import is_error
@@ -16,17 +18,30 @@ from faultline.functions.playbook import (
     playbook_solutions,
     playbook_title,
 )
-from faultline.functions.text import none_if_empty
-from faultline.schemas import MAX_INCIDENTS
+from faultline.functions.text import first_chars, none_if_empty
+from faultline.operators.groups import error_groups, ranked_groups
+from faultline.operators.ranking import head, numbered, placed
+from faultline.operators.stats import line_totals
+from faultline.schemas import Limits
 
 MIN_WARNING_COUNT = 3
-MAX_EVIDENCE = 4
-_LATER_GROUP_SAMPLES = 2
-_TITLE_CHARS = 60
-_QUOTE_CHARS = 120
+_TITLE = ["log_id", "title"]
+
+# ---- fixed values: texts of a report ----
 
-# Fixed text of a report.
 EVIDENCE_REASON = "Occurrence of the failing pattern this incident is based on."
+TITLE_START, TITLE_MIDDLE = "Repeated ", "s: "
+TEXT_START = "The logs show "
+TEXT_COUNT = " occurrence(s) of this problem affecting "
+TEXT_NO_SOURCE = "the logs"
+TEXT_BETWEEN, TEXT_AND = " between ", " and "
+TEXT_QUOTE = '. The recurring message looks like: "'
+TEXT_END = (
+    '". This pattern usually means the service could not do its normal work and '
+    "requests started failing. The cited lines below are the concrete evidence."
+)
+
+# ---- end of fixed values ----
 
 
 def playbook_match(groups: DataFrame) -> DataFrame:
@@ -47,15 +62,25 @@ def playbook_match(groups: DataFrame) -> DataFrame:
     )
 
 
-def known_cause_rank(matched: DataFrame) -> DataFrame:
-    """Rank groups of a log: known cause, errors, count, then the order they came in."""
+def with_cause(matched: DataFrame) -> DataFrame:
+    """Add ``known`` and ``cause``, which orders the groups of a log.
+
+    Known causes come first, then errors, then frequent groups, then the order
+    of the groups, of which only the first appearance is left to compare.
+    """
     known = F.coalesce(F.col("playbook_title") != GENERIC_TITLE, F.lit(False))
-    order = Window.partitionBy("log_id").orderBy(
-        F.col("known").desc(), is_error(F.col("level")).desc(), F.col("count").desc(), "rank"
-    )
-    return matched.withColumn("known", known).withColumn(
-        "cause_rank", F.row_number().over(order).cast("bigint")
+    cause = F.struct(
+        (~known).alias("unknown"),
+        (~is_error(F.col("level"))).alias("warning"),
+        (-F.col("count")).alias("seldom"),
+        F.col("first_pos").alias("first_pos"),
     )
+    return matched.withColumns({"known": known, "cause": cause})
+
+
+def known_cause_rank(matched: DataFrame) -> DataFrame:
+    """Place of every group of a log by ``cause``."""
+    return numbered(with_cause(matched), ["log_id"], [F.col("cause")], "cause_rank")
 
 
 def drop_noise_warnings(groups: DataFrame) -> DataFrame:
@@ -63,57 +88,78 @@ def drop_noise_warnings(groups: DataFrame) -> DataFrame:
     return groups.where((F.col("level") != "WARNING") | (F.col("count") >= MIN_WARNING_COUNT))
 
 
-def fallback_title(groups: DataFrame) -> DataFrame:
-    """Title of a group the playbook does not know."""
+def fallback_title(groups: DataFrame, chars: int | None = None) -> DataFrame:
+    """Title of a group the playbook does not know: its level and (the start of) its sample."""
     own = F.concat(
-        F.lit("Repeated "),
-        F.lower("level"),
-        F.lit("s: "),
-        F.substring("sample", 1, _TITLE_CHARS),
+        F.lit(TITLE_START), F.lower("level"), F.lit(TITLE_MIDDLE), first_chars(F.col("sample"), chars)
     )
     return groups.withColumn("title", F.coalesce("playbook_title", own))
 
 
-def merge_incidents(titled: DataFrame) -> DataFrame:
-    """One row per title; the three titles whose best group ranks first.
+def titled_groups(groups: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Groups that count, with their title and their order within the log."""
+    return fallback_title(drop_noise_warnings(with_cause(playbook_match(groups))), limits.title_chars)
 
-    The group with the best rank leads: severity, confidence and quoted text
-    come from it.  The others add counts, sources, time range and two samples.
+
+def incident_lines(titled: DataFrame, leaders: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """First distinct lines of each incident, ``limits.evidence`` at most, as ``place, line_number``.
+
+    All samples of the leading group come first, then the first
+    ``limits.later_samples`` of each other one, in the order of causes.
     """
-    leader = F.struct(
-        "level", "count", "sample", "known", "solutions", "first_seen", "last_seen"
-    )
-    by_rank = F.array_sort(F.collect_list(F.struct("cause_rank", "sample_line_numbers")))
-    lines = F.transform(
-        by_rank,
-        lambda g, i: F.when(i == 0, g["sample_line_numbers"]).otherwise(
-            F.slice(g["sample_line_numbers"], 1, _LATER_GROUP_SAMPLES)
-        ),
+    leading = F.col("cause") == F.col("_leader")
+    sampled = (
+        titled.join(leaders.select(*_TITLE, F.col("cause").alias("_leader")), _TITLE)
+        .select(*_TITLE, "cause", leading.alias("_leading"), F.posexplode("sample_line_numbers").alias("_i", "line_number"))
+        .where(F.col("_leading") | (F.col("_i") < limits.later_samples))
     )
-    merged = titled.groupBy("log_id", "title").agg(
-        F.min("cause_rank").alias("cause_rank"),
-        F.min_by(leader, "cause_rank").alias("leader"),
+    first = sampled.groupBy(*_TITLE, "line_number").agg(F.min(F.struct("cause", "_i")).alias("_at"))
+    return head(first, _TITLE, [F.col("_at")], limits.evidence).select(
+        *_TITLE, (F.col("rank") - 1).alias("place"), "line_number"
+    )
+
+
+def merge_incidents(titled: DataFrame, totals: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row per title, ``incident_rank`` by the best cause among its groups.
+
+    The group with the best cause leads: severity, confidence and quoted text
+    come from it.  The others add counts, sources, time range and lines.
+    ``totals`` are the line totals of the logs.
+    """
+    leader = F.struct("level", "count", "sample", "known", "solutions", "first_seen", "last_seen")
+    merged = titled.groupBy(*_TITLE).agg(
+        F.min("cause").alias("cause"),
+        F.min_by(leader, "cause").alias("leader"),
         F.sum("count").alias("count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
         F.min(none_if_empty(F.col("first_seen"))).alias("first_seen"),
         F.max(none_if_empty(F.col("last_seen"))).alias("last_seen"),
-        F.flatten(lines).alias("line_numbers"),
         F.bool_or(F.col("level") == "CRITICAL").alias("any_critical"),
-        F.first("total_lines").alias("total_lines"),
-        F.first("error_lines").alias("error_lines"),
-        F.first("warning_lines").alias("warning_lines"),
     )
-    place = F.row_number().over(Window.partitionBy("log_id").orderBy("cause_rank"))
+    kept = placed(merged, ["log_id"], [F.col("cause")], limits.incidents, "incident_rank")
+    sources = (
+        titled.select(*_TITLE, F.explode("sources").alias("source"))
+        .distinct()
+        .groupBy(*_TITLE)
+        .agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    )
+    lines = (
+        incident_lines(titled, merged, limits)
+        .groupBy(*_TITLE)
+        .agg(F.array_sort(F.collect_list(F.struct("place", "line_number"))).alias("_lines"))
+    )
     return (
-        merged.withColumn("incident_rank", place.cast("bigint"))
-        .where(F.col("incident_rank") <= MAX_INCIDENTS)
+        kept.join(sources, _TITLE, "left")
+        .join(lines, _TITLE, "left")
+        .join(totals, "log_id")
         .withColumns(
             {
                 "first_seen": F.coalesce("first_seen", "leader.first_seen"),
                 "last_seen": F.coalesce("last_seen", "leader.last_seen"),
+                "sources": F.coalesce("sources", F.array().cast("array<string>")),
+                "line_numbers": F.transform("_lines", lambda p: p["line_number"]),
             }
         )
-        .drop("cause_rank")
+        .drop("cause", "_lines")
     )
 
 
@@ -154,36 +200,32 @@ def incident_confidence(incidents: DataFrame) -> DataFrame:
     )
 
 
-def incident_text(incidents: DataFrame) -> DataFrame:
+def incident_text(incidents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Explanation from count, sources, time range and the leading message."""
-    affected = F.coalesce(none_if_empty(F.array_join("sources", ", ")), F.lit("the logs"))
+    affected = F.coalesce(none_if_empty(F.array_join("sources", ", ")), F.lit(TEXT_NO_SOURCE))
     span = F.when(
         F.col("first_seen") != "",
-        F.concat(F.lit(" between "), "first_seen", F.lit(" and "), "last_seen"),
+        F.concat(F.lit(TEXT_BETWEEN), "first_seen", F.lit(TEXT_AND), "last_seen"),
     ).otherwise("")
     text = F.concat(
-        F.lit("The logs show "),
+        F.lit(TEXT_START),
         F.col("count").cast("string"),
-        F.lit(" occurrence(s) of this problem affecting "),
+        F.lit(TEXT_COUNT),
         affected,
         span,
-        F.lit('. The recurring message looks like: "'),
-        F.substring("leader.sample", 1, _QUOTE_CHARS),
-        F.lit(
-            '". This pattern usually means the service could not do its normal work and '
-            "requests started failing. The cited lines below are the concrete evidence."
-        ),
+        F.lit(TEXT_QUOTE),
+        first_chars(F.col("leader.sample"), limits.quote_chars),
+        F.lit(TEXT_END),
     )
     return incidents.withColumn("human_explanation", text)
 
 
 def incident_evidence(incidents: DataFrame) -> DataFrame:
-    """First four distinct lines, each with the reason it is cited."""
-    cited = F.slice(F.array_distinct("line_numbers"), 1, MAX_EVIDENCE)
+    """The incident's lines, each with the reason it is cited."""
     return incidents.withColumn(
         "evidence",
         F.transform(
-            cited,
+            "line_numbers",
             lambda n: F.struct(
                 n.alias("line_number"), F.lit(EVIDENCE_REASON).alias("why_relevant")
             ),
@@ -191,12 +233,10 @@ def incident_evidence(incidents: DataFrame) -> DataFrame:
     )
 
 
-def build_incidents(ranked: DataFrame) -> DataFrame:
-    """Incident rows of every log, ready for citation checking."""
-    loud = ranked.where(is_error(F.col("level")) | (F.col("level") == "WARNING"))
-    titled = fallback_title(drop_noise_warnings(known_cause_rank(playbook_match(loud))))
-    merged = merge_incidents(titled)
-    full = incident_evidence(incident_text(incident_confidence(incident_severity(merged))))
+def build_incidents(groups: DataFrame, totals: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Incident rows of every log, ready for citation checking, from its groups and line totals."""
+    merged = merge_incidents(titled_groups(groups, limits), totals, limits)
+    full = incident_evidence(incident_text(incident_confidence(incident_severity(merged)), limits))
     return full.select(
         "log_id",
         F.col("incident_rank").alias("incident_pos"),
@@ -212,6 +252,18 @@ def build_incidents(ranked: DataFrame) -> DataFrame:
     )
 
 
+def groups_to_fold(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The groups that incidents are made of: all, or the leading ones of each log."""
+    if limits.groups is None:
+        return error_groups(entries, limits)
+    return ranked_groups(entries, limits).drop("rank")
+
+
+def log_incidents(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``build_incidents`` straight from entries."""
+    return build_incidents(groups_to_fold(entries, limits), line_totals(entries), limits)
+
+
 def overall_status(stats: DataFrame, incidents: DataFrame) -> DataFrame:
     """Status per log: any critical incident, else any error line, else healthy."""
     critical = incidents.groupBy("log_id").agg(

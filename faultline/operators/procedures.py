@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from faultline.functions.levels import ERROR_LEVELS, is_error, is_warning
 from faultline.operators.search import DEFAULT_CONTEXT, context_window
-from faultline.operators.groups import filter_errors_warnings, grouped_levels
+from faultline.operators.groups import error_groups
+from faultline.operators.stats import UNATTRIBUTED
 
 
 def error_onset(entries: DataFrame) -> DataFrame:
     """First error of every source; the earliest of a log is the prime suspect."""
     errors = entries.where(F.col("level").isin(*ERROR_LEVELS))
-    named = F.when(F.col("source") != "", F.col("source")).otherwise("(unattributed)")
+    named = F.when(F.col("source") != "", F.col("source")).otherwise(UNATTRIBUTED)
     first = F.min_by(F.struct("time", "line_number"), "pos")
     onset = errors.groupBy("log_id", named.alias("source")).agg(
         F.min("pos").alias("pos"), first.alias("first")
@@ -44,7 +45,7 @@ def triage_class(logs: DataFrame, entries: DataFrame) -> DataFrame:
     """Quiet, warnings only, one error group or a cascade; with the earliest error group."""
     error, warning = is_error(F.col("level")), is_warning(F.col("level"))
     shape = (
-        grouped_levels(filter_errors_warnings(entries))
+        error_groups(entries)
         .groupBy("log_id")
         .agg(
             F.count_if(error).alias("error_groups"),

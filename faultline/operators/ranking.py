@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import write_once
+
 
 def head_with_totals(
     rows: DataFrame,
@@ -57,3 +59,41 @@ def head(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: i
         rows.withColumn("rank", F.row_number().over(window).cast("bigint"))
         .where(F.col("rank") <= limit)
     )
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Place of every row within its key as ``name``, 1 first; no task holds a whole key.
+
+    Rows are sorted over all tasks by key and order, so one large key spans many
+    of them.  A row's place is its place in its task plus the rows of the key in
+    earlier tasks, which a table of one row per key and task adds up.  The order
+    should be total; equal rows are numbered arbitrarily.
+    """
+    ordered = (
+        rows.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    )
+    stored = write_once(ordered, "ordered")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        stored.groupBy(*keys, "_part")
+        .agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .drop("_n")
+    )
+    place = F.col("_row") - F.col("_first") + F.col("_before") + 1
+    return (
+        stored.join(pieces, [*keys, "_part"])
+        .withColumn(name, place.cast("bigint"))
+        .select(*rows.columns, name)
+    )
+
+
+def placed(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int | None, name: str = "rank"
+) -> DataFrame:
+    """Rows with their place in the key: the first ``limit``, or all of them."""
+    if limit is None:
+        return numbered(rows, keys, order, name)
+    return head(rows, keys, order, limit).withColumnRenamed("rank", name)

@@ -12,13 +12,11 @@ from faultline.schemas import (
     EVIDENCE,
     INCIDENT,
     INCIDENT_FIELDS,
-    MAX_INCIDENTS,
     MAX_SOLUTIONS,
     SEVERITIES,
     STATUSES,
 )
 
-MAX_ATTEMPTS = 2
 UNVERIFIED_CONFIDENCE = 0.3
 
 # ---- fixed values: texts of reports that no model wrote ----
@@ -207,12 +205,12 @@ def validate_report(extracted: DataFrame) -> DataFrame:
     )
 
 
-def pick_attempt(checked: DataFrame) -> DataFrame:
-    """First valid report among the first two attempts per log.
+def pick_attempt(checked: DataFrame, limit: int | None = None) -> DataFrame:
+    """First valid report per log, among all attempts or the first ``limit``.
 
-    ``attempt`` is null when neither is valid.
+    ``attempt`` is null when none is valid.
     """
-    tried = head(checked, ["log_id"], [F.col("attempt")], MAX_ATTEMPTS)
+    tried = checked if limit is None else head(checked, ["log_id"], [F.col("attempt")], limit)
     best = F.struct("attempt", "overall_status", "incidents")
     return (
         tried.groupBy("log_id")
@@ -300,18 +298,18 @@ def _no_incidents() -> Column:
     return F.array().cast(f"array<{INCIDENT.simpleString()}>")
 
 
-def assemble_result(status: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Nested report per log: incidents by severity, confidence, order; three at most.
+def assemble_result(status: DataFrame, incidents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Nested report per log: incidents by severity, confidence, order; all, or ``limit`` at most.
 
     ``status`` holds ``log_id, log_source, overall_status`` and the line counts.
     """
-    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    leading = head(
-        incidents, ["log_id"], [rank, F.col("confidence").desc(), F.col("incident_pos")], MAX_INCIDENTS
-    )
+    weight = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    order = {"weight": weight, "doubt": -F.col("confidence"), "pos": F.col("incident_pos")}
+    leading = incidents if limit is None else head(incidents, ["log_id"], list(order.values()), limit)
+    place = [c.alias(n) for n, c in order.items()]
     nested = leading.groupBy("log_id").agg(
         F.array_sort(
-            F.collect_list(F.struct("rank", F.struct(*INCIDENT_FIELDS).alias("incident")))
+            F.collect_list(F.struct(*place, F.struct(*INCIDENT_FIELDS).alias("incident")))
         ).alias("ranked")
     )
     listed = F.coalesce(F.transform("ranked", lambda r: r["incident"]), _no_incidents())

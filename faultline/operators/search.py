@@ -10,17 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.text import trim_excerpt
-from faultline.operators.ranking import head_with_totals
+from faultline.operators.ranking import head_with_totals, numbered
 from faultline.operators.trace import CHUNK_LINES
 
-MAX_MATCHES = 20
 DEFAULT_CONTEXT = 5
-MAX_CONTEXT = 15
 _SHOWN = ["line_number", "level", "time", "source"]
 
-
-def clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(int(value), high))
+# Fixed text of a center without lines.
+NOT_FOUND = "line %d not found in input"
 
 
 def _search_regex(pattern: str) -> str:
@@ -28,10 +25,25 @@ def _search_regex(pattern: str) -> str:
     return f"(?iU){pattern}"
 
 
+def ranked_hits(hits: DataFrame, keys: Sequence[str], limit: int | None) -> DataFrame:
+    """Hits by position with ``rank`` and ``total_matches`` of their key: all, or the first ``limit``."""
+    if limit is None:
+        totals = hits.groupBy(*keys).agg(F.count("*").alias("total_matches"))
+        return numbered(hits, keys, [F.col("pos")]).join(totals, list(keys)).drop("pos")
+    return head_with_totals(
+        hits,
+        keys,
+        [F.col("pos")],
+        max(1, int(limit)),
+        {"total_matches": F.lit(1)},
+        [F.expr(f"pos div {CHUNK_LINES}"), F.expr(f"pos div {CHUNK_LINES * 1024}")],
+    ).drop("pos")
+
+
 def search_logs_batch(
-    entries: DataFrame, patterns: Sequence[str], max_results: int = MAX_MATCHES
+    entries: DataFrame, patterns: Sequence[str], limit: int | None = None
 ) -> DataFrame:
-    """Matches of several patterns: total and first lines per log and pattern.
+    """Matches of several patterns per log and pattern: all lines, or the first ``limit``, and their number.
 
     All patterns are tested in one pass over the lines.  They are constants of
     the plan, so each is compiled once per task and no join is needed.
@@ -46,21 +58,12 @@ def search_logs_batch(
         *_SHOWN,
         trim_excerpt(F.col("raw")).alias("raw"),
     )
-    return head_with_totals(
-        hits,
-        ["log_id", "pattern"],
-        [F.col("pos")],
-        clamp(max_results, 1, MAX_MATCHES),
-        {"total_matches": F.lit(1)},
-        [F.expr(f"pos div {CHUNK_LINES}"), F.expr(f"pos div {CHUNK_LINES * 1024}")],
-    ).drop("pos")
+    return ranked_hits(hits, ["log_id", "pattern"], limit)
 
 
-def search_logs(entries: DataFrame, pattern: str, max_results: int = MAX_MATCHES) -> DataFrame:
-    """Total matches per log and the first ``max_results`` (1 to 20) by position."""
-    return search_logs_batch(
-        entries.where(F.col("raw").rlike(_search_regex(pattern))), [pattern], max_results
-    )
+def search_logs(entries: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
+    """Matches of one pattern per log; see ``search_logs_batch``."""
+    return search_logs_batch(entries.where(F.col("raw").rlike(_search_regex(pattern))), [pattern], limit)
 
 
 def invalid_pattern_report(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
@@ -80,23 +83,25 @@ def invalid_pattern_report(spark: SparkSession, patterns: Sequence[str]) -> Data
 def context_window(
     entries: DataFrame, centers: DataFrame, n: int = DEFAULT_CONTEXT
 ) -> DataFrame:
-    """Lines within ``n`` (1 to 15) numbers of each ``(log_id, center)``.
+    """Lines within ``n`` numbers of each ``(log_id, center)``; a center asked for twice counts once.
 
     The wanted numbers are listed per center, so the lookup is an equi-join and
-    not a range join.  A center without any line keeps one row with a note.
+    not a range join; they filter the entries before any text moves.  A center
+    without any line keeps one row with a note.
     """
-    n = clamp(n, 1, MAX_CONTEXT)
-    around = centers.select(
+    n = max(1, int(n))
+    asked = centers.select("log_id", "center").distinct()
+    around = asked.select(
         "log_id",
         "center",
         F.explode(F.sequence(F.col("center") - n, F.col("center") + n)).alias("line_number"),
     )
     found = around.join(
-        entries.select("log_id", *_SHOWN, "pos", trim_excerpt(F.col("raw")).alias("raw")),
+        entries.select("log_id", *_SHOWN, trim_excerpt(F.col("raw")).alias("raw")),
         ["log_id", "line_number"],
     )
-    missing = F.format_string("line %d not found in input", F.col("center"))
-    return centers.join(found, ["log_id", "center"], "left").select(
+    missing = F.format_string(NOT_FOUND, F.col("center"))
+    return asked.join(found, ["log_id", "center"], "left").select(
         "log_id",
         "center",
         *_SHOWN,

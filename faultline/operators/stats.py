@@ -6,22 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.levels import is_error, is_warning
-from faultline.operators.ranking import head_with_totals
+from faultline.operators.ranking import placed
 
-MAX_SOURCES = 15
+# Fixed text for lines without a source.
 UNATTRIBUTED = "(unattributed)"
 
 
-def log_stats(logs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Total, error and warning lines of every log; logs without entries count 0."""
-    counted = entries.groupBy("log_id").agg(
+def line_totals(entries: DataFrame) -> DataFrame:
+    """Total, error and warning lines of every log with entries."""
+    return entries.groupBy("log_id").agg(
         F.count("*").alias("total_lines"),
         F.count_if(is_error(F.col("level"))).alias("error_lines"),
         F.count_if(is_warning(F.col("level"))).alias("warning_lines"),
     )
+
+
+def log_stats(logs: DataFrame, entries: DataFrame) -> DataFrame:
+    """``line_totals`` of every log; logs without entries count 0."""
     return (
         logs.select("log_id")
-        .join(counted, "log_id", "left")
+        .join(line_totals(entries), "log_id", "left")
         .fillna(0, ["total_lines", "error_lines", "warning_lines"])
     )
 
@@ -68,18 +72,14 @@ def source_stats(entries: DataFrame) -> DataFrame:
     )
 
 
-def source_report(entries: DataFrame) -> DataFrame:
-    """Sources by errors, volume, first appearance; fifteen per log."""
-    fine = F.pmod(F.xxhash64("source"), F.lit(4096))
-    return (
-        head_with_totals(
-            source_stats(entries),
-            ["log_id"],
-            [F.col("errors").desc(), F.col("total").desc(), F.col("first_pos")],
-            MAX_SOURCES,
-            {"source_count": F.lit(1)},
-            [fine, F.pmod(fine, F.lit(64))],
-        )
-        .withColumn("sources_truncated", F.greatest(F.lit(0), F.col("source_count") - MAX_SOURCES))
-        .drop("source_count", "first_pos")
-    )
+def source_report(entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sources by errors, volume, first appearance: all, or ``limit`` per log and how many that leaves out."""
+    sources = source_stats(entries)
+    order = [F.col("errors").desc(), F.col("total").desc(), F.col("first_pos")]
+    report = placed(sources, ["log_id"], order, limit)
+    if limit is None:
+        truncated = F.lit(0).cast("bigint")
+    else:
+        report = report.join(sources.groupBy("log_id").agg(F.count("*").alias("_sources")), "log_id")
+        truncated = F.greatest(F.lit(0), F.col("_sources") - limit)
+    return report.withColumn("sources_truncated", truncated).drop("_sources", "first_pos")

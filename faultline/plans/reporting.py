@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators import reports as R
-from faultline.operators.groups import ranked_groups
-from faultline.operators.incidents import build_incidents, overall_status
+from faultline.operators.incidents import build_incidents, groups_to_fold, overall_status
 from faultline.operators.parse import parse_lines
-from faultline.operators.stats import log_stats
+from faultline.operators.stats import line_totals, log_stats
 from faultline.operators.trace import inherit_trace_level
+from faultline.schemas import Limits
 from faultline.session import write_once
 from faultline.sources.raw_logs import split_lines
 
@@ -33,32 +33,29 @@ def parse_once(lines: DataFrame, loud_only: bool = False) -> DataFrame:
     return inherit_trace_level(write_once(parse_lines(lines, loud_only), "lines"))
 
 
-def analyze_logs(logs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Built-in analysis of every log.
+def analyze_logs(logs: DataFrame, entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Built-in analysis of every log, over all its groups unless ``limits`` says otherwise.
 
-    Entries are reduced to ten groups per log in one pass; that small table is
-    written once, because counts, incidents and status all read it.  Only the
-    few cited lines are looked up in the entries again, and those are errors or
-    warnings, so entries parsed with ``loud_only`` will do.
+    Line totals and incidents are small next to the entries and read by several
+    branches, so each is written once.  Only the cited lines are looked up in
+    the entries again, and those are errors or warnings, so entries parsed with
+    ``loud_only`` will do.
     """
-    ranked = write_once(ranked_groups(entries), "groups")
-    stats = ranked.where("rank = 1").select(
-        "log_id", "total_lines", "error_lines", "warning_lines"
-    )
-    incidents = build_incidents(ranked)
+    totals = write_once(line_totals(entries), "totals")
+    incidents = write_once(build_incidents(groups_to_fold(entries, limits), totals, limits), "incidents")
     checked = R.penalize_unverified(R.verify_evidence(incidents, entries))
-    status = overall_status(
-        logs.select("log_id", "log_source").join(stats, "log_id"), incidents
-    )
-    analysed = R.assemble_result(status, checked)
-    return analysed.unionByName(R.empty_log_reports(R.logs_without_entries(logs, stats)))
+    status = overall_status(logs.select("log_id", "log_source").join(totals, "log_id"), incidents)
+    analysed = R.assemble_result(status, checked, limits.incidents)
+    return analysed.unionByName(R.empty_log_reports(R.logs_without_entries(logs, totals)))
 
 
-def check_reports(logs: DataFrame, entries: DataFrame, candidates: DataFrame) -> DataFrame:
+def check_reports(
+    logs: DataFrame, entries: DataFrame, candidates: DataFrame, limit: int | None = None
+) -> DataFrame:
     """Reports written elsewhere, ``(log_id, attempt, content)``, made safe to publish.
 
     The picked reports and the counts, one row per log each, are written once:
-    several branches read them.
+    several branches read them.  A report keeps all its incidents, or ``limit``.
     """
     checked = R.validate_report(R.extract_report_json(candidates))
     picked = write_once(R.pick_attempt(checked), "picked")
@@ -68,7 +65,7 @@ def check_reports(logs: DataFrame, entries: DataFrame, candidates: DataFrame) ->
     incidents = R.penalize_unverified(
         R.verify_evidence(R.report_incidents(picked.where("attempt IS NOT NULL")), entries)
     )
-    valid = R.assemble_result(answered.where("attempt IS NOT NULL"), incidents)
+    valid = R.assemble_result(answered.where("attempt IS NOT NULL"), incidents, limit)
     reason = F.when(F.col("tried"), "malformed").otherwise("unreached")
     unanswered = (
         known.join(picked.select("log_id", "attempt", F.lit(True).alias("tried")), "log_id", "left")

@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import types as T
 
 ENTRIES = T.StructType(
@@ -63,5 +65,26 @@ ENTRY_FIELDS = ENTRIES.fieldNames()
 
 SEVERITIES = ("critical", "high", "medium", "low")
 STATUSES = ("critical", "degraded", "healthy", "inconclusive")
-MAX_INCIDENTS = 3
 MAX_SOLUTIONS = 3
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much of a result is kept, per log or per row of it; None keeps everything.
+
+    Groups, incidents and titles are never cut unless a caller asks for it.
+    Sample lines and evidence are the first lines of a group, by definition few.
+    """
+
+    groups: int | None = None
+    signature_chars: int | None = None
+    samples: int = 5
+    later_samples: int = 2  # lines an incident takes from each group but its leading one
+    evidence: int = 4
+    incidents: int | None = None
+    title_chars: int | None = None
+    quote_chars: int | None = None
+
+
+#: The fixed sizes of a short report, for readers and models with little room.
+BRIEF = Limits(groups=10, signature_chars=160, incidents=3, title_chars=60, quote_chars=120)

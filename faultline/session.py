@@ -27,18 +27,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
-_ONE_SPLIT_BYTES = 128 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Let every core work on an input that one task would read.
+    """Deal out the rows of a scan that has fewer tasks than the cluster has cores.
 
-    A file of one row group is read by one task, whatever its split count.
-    Inputs above the size of a split stay as they are: no shuffle of large data.
+    A file of one row group is read by one task, whatever its split count.  A
+    scan with enough tasks stays as it is, so large data is never shuffled.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < _ONE_SPLIT_BYTES else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 @cache

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from faultline.operators import classify, reports, search
 from faultline.operators.groups import error_group_report, error_groups
-from faultline.operators.ranking import head_with_totals
+from faultline.operators.incidents import build_incidents
+from faultline.operators.ranking import head_with_totals, numbered
+from faultline.schemas import BRIEF
 from faultline.operators.stats import source_stats
 from faultline.plans.reporting import analyze_logs, check_reports, text_entries
 from faultline.sources import raw_logs, sinks
@@ -78,8 +80,11 @@ def test_groups_over_many_chunks_match_plain_counting(spark):
         for r in error_groups(entries).collect()
     }
     assert got == want
-    report = error_group_report(entries).orderBy("rank").collect()
+    whole = error_group_report(entries).orderBy("rank").collect()
+    report = error_group_report(entries, BRIEF).orderBy("rank").collect()
+    assert len(whole) == len(want) and whole[0].groups_truncated == 0
     assert len(report) == 10 and report[0].groups_truncated == len(want) - 10
+    assert [r[:3] for r in whole[:10]] == [r[:3] for r in report]
     assert report[0].total_lines == 500
     assert [r.level for r in report] == sorted((r.level for r in report))
 
@@ -98,6 +103,37 @@ def test_ranking_does_not_depend_on_buckets(spark, sizes):
     assert set(map(tuple, got.collect())) == want
 
 
+def test_numbering_spans_tasks(spark):
+    rows = [("hot" if i % 4 else f"k{i % 12}", (i * 37) % 401) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, at bigint").repartition(7)
+    got = numbered(df, ["key"], [F.col("at").desc()]).collect()
+    for key in {r[0] for r in rows}:
+        mine = sorted((at for k, at in rows if k == key), reverse=True)
+        assert sorted((r.rank, r.at) for r in got if r.key == key) == list(enumerate(mine, 1))
+
+
+def test_incidents_see_every_group(spark):
+    """Forty unknown error groups, then one critical group and one known warning that a cut at ten would hide."""
+    groups = [("a", "ERROR", f"broken {c}", 50 - i, ["s"], "t1", "t2", f"broken {c}", [i * 10, i * 10 + 1], i * 10)
+              for i, c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN")]
+    groups += [("a", "CRITICAL", "gone", 1, [], None, None, "gone", [900], 900)]
+    groups += [("a", "WARNING", "pool low", 3, ["db"], "t0", "t9", "pool low", [901, 902, 903], 901)]
+    groups += [("a", "WARNING", f"HikariPool {i}", 4, [f"n{i}"], "", None, f"HikariPool {i}", [5, 5, 910 + i], 910 + i) for i in range(3)]
+    names = "log_id string, level string, message_signature string, count bigint, sources array<string>, first_seen string, last_seen string, sample_message string, sample_line_numbers array<bigint>, first_pos bigint"
+    totals = spark.createDataFrame([("a", 100_000, 1200, 15)], "log_id string, total_lines bigint, error_lines bigint, warning_lines bigint")
+    table = spark.createDataFrame(groups, names).repartition(4)
+    found = build_incidents(table, totals).orderBy("incident_pos").collect()
+    assert len(found) == 42 and [r.incident_pos for r in found] == list(range(1, 43))
+    pool = found[0]
+    assert pool.title == "Database connection pool exhaustion" and pool.affected_sources == ["db", "n0", "n1", "n2"]
+    # the groups of four lead the one of three; repeated line numbers count once
+    assert [e.line_number for e in pool.evidence] == [5, 910, 901, 902]
+    assert (pool.first_seen, pool.last_seen) == ("t0", "t9") and "15 occurrence(s)" in pool.human_explanation
+    assert [r.title for r in found if r.severity == "critical"] == ["Repeated criticals: gone"]
+    brief = build_incidents(table, totals, BRIEF).collect()
+    assert sorted(r.title for r in brief) == sorted(r.title for r in found[:3])
+
+
 def test_rates_round_on_the_binary_value(spark):
     pairs = [(e, t) for t in (16, 48, 80, 400, 2000, 7) for e in range(t + 1) if e % 7 == 1 or t < 100]
     rows = [
@@ -110,10 +146,11 @@ def test_rates_round_on_the_binary_value(spark):
 
 def test_search_and_context(spark):
     entries = text_entries(make_logs(spark, ("a", None, "\n".join(f"line {i} Größe" for i in range(1, 41)))))
-    rows = search.search_logs(entries, r"LINE \d+ größe\b", 99).orderBy("rank").collect()
-    assert len(rows) == 20 and rows[0].total_matches == 40
-    assert search.search_logs(entries, "line", 0).count() == 1
-    centers = spark.createDataFrame([("a", 2), ("a", 900)], "log_id string, center bigint")
+    rows = search.search_logs(entries, r"LINE \d+ größe\b").orderBy("rank").collect()
+    assert [(r.rank, r.line_number, r.total_matches) for r in rows] == [(i, i, 40) for i in range(1, 41)]
+    first = search.search_logs(entries, "line", 3).orderBy("rank").collect()
+    assert [(r.rank, r.line_number, r.total_matches) for r in first] == [(i, i, 40) for i in (1, 2, 3)]
+    centers = spark.createDataFrame([("a", 2), ("a", 900), ("a", 2)], "log_id string, center bigint")
     around = search.context_window(entries, centers, 0).collect()
     assert sorted(r.line_number for r in around if r.center == 2) == [1, 2, 3]
     assert [r.note for r in around if r.center == 900] == ["line 900 not found in input"]
