@@ -15,22 +15,19 @@ from faultline.session import write_once
 from faultline.sources.raw_logs import split_lines
 
 
-def raw_entries(lines: DataFrame, loud_only: bool = False) -> DataFrame:
-    """Entries of numbered raw lines, stack traces included."""
-    return inherit_trace_level(parse_lines(lines, loud_only))
+def parse_once(lines: DataFrame, loud_only: bool = False) -> DataFrame:
+    """Entries of numbered raw lines, stack traces included.
+
+    Every line is parsed once, without a shuffle, and stored; levels of traces
+    are found from positions alone.  Each later step reads just the columns it
+    needs.
+    """
+    return inherit_trace_level(write_once(parse_lines(lines, loud_only, mark=True), "lines"))
 
 
 def text_entries(logs: DataFrame, loud_only: bool = False) -> DataFrame:
     """Entries of ``(log_id, text)``."""
-    return raw_entries(split_lines(logs), loud_only)
-
-
-def parse_once(lines: DataFrame, loud_only: bool = False) -> DataFrame:
-    """``raw_entries`` over stored lines: every line is parsed once, without a shuffle.
-
-    Each later step reads just the columns it needs.
-    """
-    return inherit_trace_level(write_once(parse_lines(lines, loud_only), "lines"))
+    return parse_once(split_lines(logs), loud_only)
 
 
 def analyze_logs(logs: DataFrame, entries: DataFrame, limits: Limits = Limits()) -> DataFrame:

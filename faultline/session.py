@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -66,3 +67,14 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Largest table that is sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits_broadcast(stored: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table is small enough to be sent to every executor, by its rows and texts."""
+    texts = [F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in stored.dtypes if kind in ("string", "binary")]
+    row = sum(texts, F.lit(16 * len(stored.columns)))
+    return (stored.agg(F.sum(row).alias("bytes")).first().bytes or 0) <= limit

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from faultline.functions import regex, text
 from faultline.operators.parse import parse_lines
+from faultline.operators import trace
 from faultline.operators.trace import inherit_trace_level
 from faultline.plans.reporting import text_entries
+from faultline.session import write_once
 
 
 def parse(spark, content):
@@ -75,10 +77,11 @@ def test_trace_lines_inherit_and_blank_lines_count(spark):
     ]
 
 
-def test_chunks_do_not_change_inheritance(spark):
+def test_chunks_do_not_change_inheritance(spark, monkeypatch):
     rng = random.Random(7)
     kinds = ["ERROR a", "FATAL b", "INFO c", "WARN d", "  more", "  more", "  more", "Caused by: x"]
-    lines = [(f"log{i % 3}", i, i, rng.choice(kinds)) for i in range(600)]
+    places = sorted([*rng.sample(range(100_000), 300), *range(200_000, 200_700)])
+    lines = [(f"log{i % 3}", i, i, rng.choice(kinds)) for i in places]
     expected, above = {}, {}
     for log, pos, _, raw in lines:
         own = {"E": "ERROR", "F": "CRITICAL", "W": "WARNING"}.get(raw[0], "INFO")
@@ -86,9 +89,23 @@ def test_chunks_do_not_change_inheritance(spark):
             own = above[log]
         above[log] = expected[pos] = own
     raw = spark.createDataFrame(lines, "log_id string, pos bigint, line_number bigint, raw string")
-    for chunk_lines in (1, 4, 1000):
-        found = inherit_trace_level(parse_lines(raw), chunk_lines).collect()
-        assert {r.pos: r.level for r in found} == expected
+    stored = write_once(parse_lines(raw, mark=True), "lines")
+    for chunk_cells in (1, 4, 1000):
+        found = inherit_trace_level(stored, chunk_cells).collect()
+        assert {r.pos: r.level for r in found} == expected and len(found) == len(lines)
+    monkeypatch.setattr(trace, "fits_broadcast", lambda table: False)
+    entries = inherit_trace_level(stored)
+    assert {r.pos: r.level for r in entries.collect()} == expected and entries.count() == len(lines)
+
+
+def test_no_text_is_shuffled_for_traces(spark):
+    raw = spark.createDataFrame([("a", i, i, "ERROR x" if i % 3 else "  at y") for i in range(50)], "log_id string, pos bigint, line_number bigint, raw string")
+    stored = write_once(parse_lines(raw, mark=True), "lines")
+    for plan in (trace.trace_levels(stored), inherit_trace_level(stored)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        shuffled = [line for line in text.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+        assert all("raw" not in line and "message" not in line for line in shuffled)
+    assert "SortMergeJoin" not in text and "Exchange hash" not in text
 
 
 def test_non_ascii_lines_follow_the_same_rules(spark):
