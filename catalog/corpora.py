@@ -167,6 +167,35 @@ def event_lines_cte() -> str:
     return f"rendered as materialized (select * from {table}), event_lines as ({parts})"
 
 
+def search_pattern_selects(d: dict[str, str]) -> list[str]:
+    """Patterns that each user asks of the own log, some broken, and patterns of all logs."""
+    kinds = [
+        "'retry attempt ' || (k % 10)",
+        "'status=5[0-9]' || (k % 10)",
+        "'(unclosed ' || event_type",
+        "'permission|timed out'",
+        "'[0-9]{5}ms'",
+        "event_type || '/' || event_id",
+        "'checksum MISMATCH for part 0x[0-9a-f]+'",
+    ]
+    own = f"select log_id, {_case('event_id', kinds)} as pattern from (select 'user-' || user_id as log_id, event_id, event_type, {d['k']} as k from events) e"
+    everyone = "select cast(null as {text}) as log_id, 'rollout of build ' || n_nationkey || '[.]2|^' || n_name as pattern from nation"
+    return [own, everyone]
+
+
+def search_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(log_id, pattern)``; a null log asks all logs."""
+    for name in ("events", "nation"):
+        _table(spark, sf_dir, name).createOrReplaceTempView(name)
+    own, everyone = search_pattern_selects(SPARK)
+    return spark.sql(own).unionByName(spark.sql(everyone.format(text="string")))
+
+
+def search_patterns_cte() -> str:
+    own, everyone = search_pattern_selects(DUCKDB)
+    return f"asked as materialized ({own} union {everyone.format(text='varchar')})"
+
+
 # One tail per document, so whole texts carry markers, blanks and odd line ends.
 _NL = "chr(10)"
 _TAILS = [

@@ -549,6 +549,17 @@ ORACLES: dict[str, str] = {
             (r"TASK|exit code \d", r"TASK|exit code \p{Nd}"),
         ],
     ),
+    "search_pattern_table": _with(
+        f"{EVENTS}, {C.search_patterns_cte()}, pairs as (select e.*, a.pattern from entries e join asked a on a.log_id = e.log_id "
+        "where a.pattern not like '(unclosed%' and regexp_matches(e.raw, '(?i)' || a.pattern) union select e.*, a.pattern from entries e join asked a on a.log_id is null and regexp_matches(e.raw, '(?i)' || a.pattern)), "
+        f"hits as (select log_id, pattern, pos, line_number, level, time, source, {excerpt('raw')} as raw from pairs), "
+        "found as (select * exclude (pos), row_number() over (partition by log_id, pattern order by pos) as rank, count(*) over (partition by log_id, pattern) as total_matches from hits)",
+        "select * from found",
+    ),
+    "invalid_pattern_report": _with(
+        C.search_patterns_cte(),
+        "select log_id, pattern, 'invalid regex: missing ), unterminated subpattern at position 0' as error from asked where pattern like '(unclosed%'",
+    ),
     "context_window": _with(
         f"{EVENTS}, {FIRST_ERROR}",
         f"select f.log_id, f.center, e.line_number, e.level, e.time, e.source, {excerpt('e.raw')} as raw, cast(null as varchar) as note "

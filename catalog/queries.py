@@ -13,6 +13,7 @@ from faultline.operators import cards as K
 from faultline.operators import classify as CL
 from faultline.operators import groups as G
 from faultline.operators import incidents as I
+from faultline.operators import pattern_search as PS
 from faultline.operators import procedures as PR
 from faultline.operators import reports as R
 from faultline.operators import search as SE
@@ -277,6 +278,15 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SE.search_logs_batch(doc_entries(spark, sf_dir), DOC_SEARCHES)
 
 
+def search_pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's own patterns in the user's log, and patterns of all logs."""
+    return PS.search_pattern_table(event_entries(spark, sf_dir), C.search_patterns(spark, sf_dir))
+
+
+def invalid_pattern_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PS.pattern_problems(C.search_patterns(spark, sf_dir))
+
+
 def inherit_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = parse_once(lines_of_both(spark, sf_dir), loud_only=True)
     return entries.select("log_id", "line_number", "level")
@@ -542,6 +552,8 @@ QUERIES: dict[str, Query] = {
     "search_logs": search_logs,
     "search_logs_batch": search_logs_batch,
     "search_documents": search_documents,
+    "search_pattern_table": search_pattern_table,
+    "invalid_pattern_report": invalid_pattern_report,
     "inherit_trace_level": inherit_levels,
     "context_window": context_window,
     "first_samples": first_samples,

@@ -61,9 +61,13 @@ def head(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: i
     )
 
 
-def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+def numbered(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank", total: str | None = None
+) -> DataFrame:
     """Place of every row within its key as ``name``, 1 first; no task holds a whole key.
 
+    With ``total``, also the number of rows of the key.
+
     Rows are sorted over all tasks by key and order, so one large key spans many
     of them.  A row's place is its place in its task plus the rows of the key in
     earlier tasks, which a table of one row per key and task adds up.  The order
@@ -80,13 +84,12 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name
         stored.groupBy(*keys, "_part")
         .agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+        .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
     )
     place = F.col("_row") - F.col("_first") + F.col("_before") + 1
-    return (
-        stored.join(pieces, [*keys, "_part"])
-        .withColumn(name, place.cast("bigint"))
-        .select(*rows.columns, name)
+    more = [F.col("_all").cast("bigint").alias(total)] if total else []
+    return stored.join(pieces, [*keys, "_part"]).select(
+        *rows.columns, place.cast("bigint").alias(name), *more
     )
 
 

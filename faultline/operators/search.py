@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import trim_excerpt
@@ -14,7 +12,7 @@ from faultline.operators.ranking import head_with_totals, numbered
 from faultline.operators.trace import CHUNK_LINES
 
 DEFAULT_CONTEXT = 5
-_SHOWN = ["line_number", "level", "time", "source"]
+SHOWN = ["line_number", "level", "time", "source"]
 
 # Fixed text of a center without lines.
 NOT_FOUND = "line %d not found in input"
@@ -28,8 +26,7 @@ def _search_regex(pattern: str) -> str:
 def ranked_hits(hits: DataFrame, keys: Sequence[str], limit: int | None) -> DataFrame:
     """Hits by position with ``rank`` and ``total_matches`` of their key: all, or the first ``limit``."""
     if limit is None:
-        totals = hits.groupBy(*keys).agg(F.count("*").alias("total_matches"))
-        return numbered(hits, keys, [F.col("pos")]).join(totals, list(keys)).drop("pos")
+        return numbered(hits, keys, [F.col("pos")], total="total_matches").drop("pos")
     return head_with_totals(
         hits,
         keys,
@@ -55,7 +52,7 @@ def search_logs_batch(
         "log_id",
         F.explode(F.array_compact(F.array(*tests))).alias("pattern"),
         "pos",
-        *_SHOWN,
+        *SHOWN,
         trim_excerpt(F.col("raw")).alias("raw"),
     )
     return ranked_hits(hits, ["log_id", "pattern"], limit)
@@ -66,20 +63,6 @@ def search_logs(entries: DataFrame, pattern: str, limit: int | None = None) -> D
     return search_logs_batch(entries.where(F.col("raw").rlike(_search_regex(pattern))), [pattern], limit)
 
 
-def invalid_pattern_report(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
-    """One row per pattern that does not compile, with the reason."""
-    problems = []
-    for pattern in patterns:
-        try:
-            re.compile(pattern)
-            spark.range(1).select(F.lit("").rlike(_search_regex(pattern))).collect()
-        except re.error as exc:
-            problems.append((pattern, f"invalid regex: {exc}"))
-        except PySparkException as exc:
-            problems.append((pattern, f"invalid regex: {exc.getCondition()}"))
-    return spark.createDataFrame(problems, "pattern string, error string")
-
-
 def context_window(
     entries: DataFrame, centers: DataFrame, n: int = DEFAULT_CONTEXT
 ) -> DataFrame:
@@ -97,14 +80,14 @@ def context_window(
         F.explode(F.sequence(F.col("center") - n, F.col("center") + n)).alias("line_number"),
     )
     found = around.join(
-        entries.select("log_id", *_SHOWN, trim_excerpt(F.col("raw")).alias("raw")),
+        entries.select("log_id", *SHOWN, trim_excerpt(F.col("raw")).alias("raw")),
         ["log_id", "line_number"],
     )
     missing = F.format_string(NOT_FOUND, F.col("center"))
     return asked.join(found, ["log_id", "center"], "left").select(
         "log_id",
         "center",
-        *_SHOWN,
+        *SHOWN,
         "raw",
         F.when(F.col("line_number").isNull(), missing).alias("note"),
     )
