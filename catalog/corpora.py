@@ -354,6 +354,27 @@ def structured_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def intake_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that may be delivered: whole texts, blank files, structured lists, verdicts, and pages that are no JSON."""
+    texts = doc_logs(spark, sf_dir).select("log_id", F.concat("log_id", F.lit(".txt")).alias("log_source"), F.lit("text").alias("origin"), F.col("text").alias("doc"))
+    blank = uploads(spark, sf_dir).select(
+        F.col("doc_id").alias("log_id"), F.concat("doc_id", F.lit(".up")).alias("log_source"), F.lit("text").alias("origin"), "doc"
+    )
+
+    def objects(docs: DataFrame, prefix: str) -> DataFrame:
+        return docs.select(
+            F.concat(F.lit(prefix), "log_id").alias("log_id"), F.lit(None).cast("string").alias("log_source"), F.lit("object").alias("origin"), "doc"
+        )
+
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id").alias("log_id"), F.col("html").alias("doc"))
+    return (
+        texts.unionByName(blank)
+        .unionByName(objects(structured_docs(spark, sf_dir), ""))
+        .unionByName(objects(verdict_docs(spark, sf_dir), "verdict-"))
+        .unionByName(objects(pages, ""))
+    )
+
+
 # ------------------------------------------------------- candidate reports
 
 

@@ -463,6 +463,33 @@ STRUCTURED = f"""{TURNS}, {FIRST_ITEM}, objects as (
  union all select log_id, 2, 1, 't', null, null, 'CRITICAL', 't', null from turns where odd = 4),
  plain as (select log_id, '2024-01-01T00:00:0' || (turn % 10) || 'Z ERROR [' || role || '] turn failed' as raw, role, turn from turns)"""
 
+# Blank is what holds nothing but white space; structured turns and verdicts as above, pages are no JSON.
+_BLANK = f"regexp_replace(doc, '{S}', '', 'g') = ''"
+_LABEL_SOURCE = "case doc_id % 6 when 3 then 'classifier' when 4 then 'None' when 5 then doc_id::varchar else 'doc-' || doc_id || '.log' end"
+_LABEL_STATUS = "case doc_id % 6 when 2 then 'UNKNOWN' when 4 then 'NONE' when 5 then 'TRUE' else case when quality = 1 then 'PASS' else 'FAIL' end end"
+INTAKE_LINES = C.DOC_LINES_CTE.replace(
+    "from documents)",
+    f"from documents union all select doc_id, null, doc from ({C.UPLOADS_SQL}) u)",
+    1,
+)
+STRUCTURED_ROWS = (
+    "select log_id, pos, line_number, raw, time, source, level, message, problem from objects "
+    "union all select log_id, 1, 2, raw, left(raw, 20), role, 'ERROR', '[' || role || '] turn failed', null from plain "
+    "union all select log_id, 2, 3, case odd when 0 then '5' when 3 then '[1]' end, null, null, null, null, "
+    "case odd when 0 then 'item is bigint' when 1 then 'item is void' else 'item is array' end from turns where odd in (0, 1, 3)"
+)
+INTAKE = (
+    f"{INTAKE_LINES}, {entries_cte('doc_lines')}, {STRUCTURED}, rows_of_lists as materialized ({STRUCTURED_ROWS}), "
+    f"taken as materialized (select log_id, log_id || case when doc_id is null then '.up' else '.txt' end as log_source, 'raw' as kind, {NONE} as status from (select *, text as doc from doc_logs) d where not {_BLANK} "
+    f"union all select log_id, 'conv-' || conv_id || '.json', 'structured', {NONE} from turns "
+    f"union all select 'verdict-doc-' || doc_id, {_LABEL_SOURCE}, 'verdict', {_LABEL_STATUS} from labels), "
+    "lined as materialized (select log_id, pos, line_number, raw, time, source, level, message, 'raw' as kind from entries "
+    "union all select log_id, pos, line_number, raw, time, source, level, message, 'structured' from rows_of_lists where problem is null), "
+    f"refused as materialized (select log_id, cast(null as bigint) as pos, 'reject' as kind, 'uploaded file is empty' as problem, doc as content from (select *, text as doc from doc_logs) d where {_BLANK} "
+    "union all select 'page-' || page_id, null, 'reject', case when html is null or trim(html) = '' then 'uploaded file is empty' else 'not a JSON object' end, html from pages "
+    "union all select log_id, pos, 'item', problem, raw from rows_of_lists where problem is not null)"
+)
+
 # ------------------------------------------------------------------ oracles
 
 
@@ -513,6 +540,24 @@ ORACLES: dict[str, str] = {
     "route_inputs": "select doc_id, case when doc_id % 13 in (2, 3, 7, 9, 11) then 'object' else 'text' end as origin, "
     "case when doc_id % 13 in (1, 2, 10) then 'verdict' when doc_id % 13 in (5, 11) then 'structured' when doc_id % 13 in (3, 7, 9) then 'reject' else 'raw' end as kind, "
     "case doc_id % 13 when 3 then 'unrecognized JSON shape' when 7 then 'not a JSON object' when 9 then 'not a JSON object' end as problem from documents",
+    "intake_logs": _with(INTAKE, "select log_id, log_source, kind, status as classifier_status from taken"),
+    "intake_entries": _with(INTAKE, "select log_id, line_number, raw, time, source, level, message, kind from lined"),
+    "quarantine": _with(INTAKE, "select log_id, pos, kind, problem, content from refused"),
+    "conservation": _with(
+        f"{INTAKE}, came as (select kind, count(*) as arrived from taken group by 1 union all select 'reject', count(*) from refused where pos is null "
+        "union all select 'item', 3 * count(*) from turns)",
+        "select kind, arrived::bigint as arrived, (case kind when 'reject' then 0 when 'item' then (select count(*) from lined where kind = 'structured') else arrived end)::bigint as reported, "
+        "(case kind when 'reject' then arrived when 'item' then (select count(*) from refused where pos is not null) else 0 end)::bigint as quarantined, true as balanced from came",
+    ),
+    "intake_report": _with(
+        f"{INTAKE}, counts as (select log_id, count(*) as total_lines, count(*) filter ({ERR}) as error_lines, count(*) filter (level = 'WARNING') as warning_lines from lined group by 1), "
+        f"named as (select *, coalesce({TITLE_CASE}, 'Repeated ' || lower(level) || 's: ' || sample) as title from (select *, coalesce(nullif(short, ''), sig) as sample, "
+        "lower(sig || ' ' || coalesce(nullif(short, ''), sig)) as low from (select log_id, level, sig, count(*) as count, (list(short order by pos))[1] as short from "
+        f"(select log_id, level, pos, {signature('message')} as sig, {excerpt('message')} as short from lined where {LOUD}) s group by 1, 2, 3) g where level <> 'WARNING' or count >= 3) h), "
+        "titles as (select log_id, count(distinct title) as n from named group by 1)",
+        "select t.log_id, t.log_source, coalesce(total_lines, 0) as total_lines, coalesce(error_lines, 0) as error_lines, coalesce(warning_lines, 0) as warning_lines, "
+        "(case when total_lines > 0 then coalesce(n, 0) when t.status = 'PASS' then 0 else 1 end)::bigint as incidents from taken t left join counts using (log_id) left join titles using (log_id)",
+    ),
     "quarantine_empty": f"select doc_id, case when regexp_replace(doc, '{S}', '', 'g') = '' then 'uploaded file is empty' end as problem from ({C.UPLOADS_SQL}) u",
     "extract_time": _line(TIME, "time"),
     "extract_short_level": _line(SHORT_LEVEL, "level"),

@@ -19,6 +19,7 @@ from faultline.operators import reports as R
 from faultline.operators import search as SE
 from faultline.operators import stats as ST
 from faultline.operators.parse import parse_lines
+from faultline.plans.intake import analyze_documents, take_in
 from faultline.plans.reporting import analyze_logs, check_reports, parse_once
 from faultline.schemas import BRIEF
 from faultline.session import scratch_path, write_once
@@ -262,6 +263,29 @@ def quarantine_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.quarantine_empty(C.uploads(spark, sf_dir)).drop("doc")
 
 
+def intake_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return take_in(C.intake_docs(spark, sf_dir)).logs
+
+
+def intake_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return take_in(C.intake_docs(spark, sf_dir)).entries.drop("pos")
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return take_in(C.intake_docs(spark, sf_dir)).quarantine
+
+
+def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whatever arrives is reported or quarantined."""
+    return take_in(C.intake_docs(spark, sf_dir), loud_only=True).conservation()
+
+
+def intake_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and line counts of every delivered document that is not refused."""
+    reports = analyze_documents(C.intake_docs(spark, sf_dir))
+    return reports.select("log_id", "log_source", "stats.*", F.size("incidents").cast("bigint").alias("incidents"))
+
+
 def filter_errors_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.filter_errors_warnings(loud_entries(spark, sf_dir))
 
@@ -533,6 +557,11 @@ QUERIES: dict[str, Query] = {
     "read_verdicts": read_verdicts,
     "route_inputs": route_inputs,
     "quarantine_empty": quarantine_empty,
+    "intake_logs": intake_logs,
+    "intake_entries": intake_entries,
+    "intake_report": intake_report,
+    "quarantine": quarantine,
+    "conservation": conservation,
     "write_results": write_results,
     "extract_time": line_query("time", fields.extract_time),
     "extract_short_level": line_query("level", levels.extract_short_level),
