@@ -522,6 +522,14 @@ def _batch(base: str, patterns: list[tuple[str, str]]) -> str:
 FIRST_ERROR = f"firsts as (select log_id, (list(line_number order by pos))[1] as center from entries where {ERR} group by log_id)"
 
 ORACLES: dict[str, str] = {
+    "read_log_lines": _with(
+        EVENT_LINES,
+        "select log_id, row_number() over (partition by log_id order by pos) - 1 as pos, row_number() over (partition by log_id order by pos) as line_number, raw from event_lines",
+    ),
+    "read_raw_logs": _with(
+        EVENT_LINES,
+        "select log_id, 'raw' as kind, cast(null as varchar) as classifier_status, string_agg(raw, chr(10) order by pos) || chr(10) as text from event_lines group by log_id",
+    ),
     "split_lines": _with(C.DOC_LINES_CTE, "select log_id, line_number, raw from doc_lines"),
     "read_structured_entries": _with(
         STRUCTURED,

@@ -199,6 +199,32 @@ def line_query(name: str, value: Callable[[Column], Column]) -> Query:
     return run
 
 
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with one text file per user log, written from all events."""
+    path = scratch_path(spark, "files")
+    lines = C.event_lines(spark, sf_dir)
+    ordered = lines.repartition("log_id").sortWithinPartitions("log_id", "pos")
+    ordered.select("log_id", "raw").write.partitionBy("log_id").text(path)
+    return path
+
+
+def log_name(path: str) -> Column:
+    return F.regexp_extract(path, "log_id=([^/]+)/", 1)
+
+
+def read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = raw_logs.read_log_lines(spark, log_files(spark, sf_dir))
+    return lines.select(log_name("log_id").alias("log_id"), "pos", "line_number", "raw")
+
+
+def read_raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files and their ``logs`` rows, joined by the log_id that both give."""
+    path = log_files(spark, sf_dir)
+    files = raw_logs.file_logs(spark, path).drop("log_source")
+    texts = raw_logs.read_raw_logs(spark, path)
+    return texts.join(files, "log_id").select(log_name("log_id").alias("log_id"), "kind", "classifier_status", "text")
+
+
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_logs.split_lines(C.doc_logs(spark, sf_dir)).drop("pos")
 
@@ -551,6 +577,8 @@ def triage_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "read_log_lines": read_log_lines,
+    "read_raw_logs": read_raw_logs,
     "split_lines": split_lines,
     "read_structured_entries": read_structured_entries,
     "structured_logs": structured_logs,

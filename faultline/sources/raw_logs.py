@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.regex import LINE_BREAK
 from faultline.functions.text import strip
+from faultline.session import BROADCAST_BYTES, fits_broadcast, write_once
+
+MAX_FILE_GROUPS = 64
 
 
 def split_lines(logs: DataFrame) -> DataFrame:
@@ -23,58 +28,81 @@ def split_lines(logs: DataFrame) -> DataFrame:
     )
 
 
+def _file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def file_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The ``logs`` rows of the files at ``path``, empty ones included; reads no content."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("log_id"))
+    return files.select(
+        "log_id",
+        _file_name(F.col("log_id")).alias("log_source"),
+        F.lit("raw").alias("kind"),
+        F.lit(None).cast("string").alias("classifier_status"),
+    )
+
+
 def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log files as one text each: ``(log_id, log_source, text)``.
 
-    For files that fit a row.  ``read_log_lines`` takes files of any size.
-    Bytes that are no UTF-8 are replaced.
+    For files that fit a row.  ``read_log_lines`` takes files of any size and
+    gives the same log_ids.  Bytes that are no UTF-8 are replaced.
     """
     return (
         spark.read.format("binaryFile")
         .load(path)
         .select(
-            F.col("path").alias("log_id"),
-            F.element_at(F.split("path", "/"), -1).alias("log_source"),
+            F.col("_metadata.file_path").alias("log_id"),
+            _file_name(F.col("_metadata.file_path")).alias("log_source"),
             F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
         )
     )
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log files of any size as numbered lines, without shuffling the text.
-
-    Splits of a file are read by different tasks.  Lines are numbered inside
-    their split, and a small table with one row per split holds the number of
-    lines before it.  The row id grows within a split, since one task reads a
-    split from start to end.
-    """
-    pieces = (
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their split and a row id that grows within it, since one task reads a split from start to end."""
+    return (
         spark.read.text(path)
         .select(
             F.col("_metadata.file_path").alias("log_id"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.make_valid_utf8("value").alias("value"),
         )
-        .select(
-            "log_id",
-            "_start",
-            # further line boundaries that the reader does not know
-            F.explode(F.split("value", LINE_BREAK)).alias("raw"),
-        )
+        # further line boundaries that the reader does not know
+        .select("log_id", "_start", F.explode(F.split("value", LINE_BREAK)).alias("raw"))
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    before = Window.partitionBy("log_id").orderBy("_start").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    splits = (
+
+
+def read_log_lines(spark: SparkSession, path: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Log files of any size as numbered lines; text is never shuffled.
+
+    Splits of a file are read by different tasks.  A first pass counts the
+    lines of each split and stores one row per split: where its row ids start
+    and how many lines of the file lie before it.  The second pass looks that
+    up where it reads.  If the table is too large to be sent to every executor,
+    files are read in groups whose part of it is small enough.
+    """
+    pieces = _pieces(spark, path)
+    before = Window.partitionBy("log_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = write_once(
         pieces.groupBy("log_id", "_start")
         .agg(F.min("_row").alias("_first"), F.count("*").alias("_lines"))
-        .withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
-        .drop("_lines")
+        .select("log_id", "_start", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift")),
+        "splits",
     )
-    pos = F.col("_row") - F.col("_first") + F.col("_before")
+    groups = 1
+    while groups < MAX_FILE_GROUPS and not fits_broadcast(splits, broadcast_bytes * groups):
+        groups *= 2
+    group = F.pmod(F.xxhash64("log_id"), F.lit(groups))
+    parts = [
+        pieces.where(group == i).join(F.broadcast(splits.where(group == i)), ["log_id", "_start"])
+        for i in range(groups)
+    ]
+    pos = F.col("_row") + F.col("_shift")
     return (
-        pieces.join(splits, ["log_id", "_start"])
+        reduce(DataFrame.unionByName, parts)
         .where(strip(F.col("raw")) != "")
         .select("log_id", pos.alias("pos"), (pos + 1).alias("line_number"), "raw")
     )

@@ -243,12 +243,20 @@ def test_large_files_are_numbered_across_splits(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
     try:
-        lines = raw_logs.read_log_lines(spark, str(logs))
-        got = [tuple(r) for r in lines.select(name, "line_number", "raw").collect()]
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for room in (raw_logs.BROADCAST_BYTES, 400):  # one group of files, or several
+            lines = raw_logs.read_log_lines(spark, str(logs), room)
+            plan = lines._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan.replace("BroadcastExchange", "") and plan.count("FileScan text") == (1 if room > 400 else 8)
+            got = [tuple(r) for r in lines.select(name, "line_number", "raw").collect()]
+            assert len(got) == len(want) and set(got) == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert len(got) == len(want) and set(got) == want
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     whole = raw_logs.split_lines(raw_logs.read_raw_logs(spark, str(logs)))
+    ids = {r.log_id for r in lines.select("log_id").distinct().collect()}
+    assert ids == {r.log_id for r in raw_logs.file_logs(spark, str(logs)).collect()}
+    assert ids == {r.log_id for r in raw_logs.read_raw_logs(spark, str(logs)).collect()}
     assert set(map(tuple, whole.select(name, "line_number", "raw").collect())) == want
 
 
