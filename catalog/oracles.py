@@ -715,6 +715,38 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+_MONTH = "(position(left(time, 3) in 'JanFebMarAprMayJunJulAugSepOctNovDec') + 2) // 3"
+
+
+def _near(candidates: list[str]) -> str:
+    listed = ", ".join(f"{{'off': abs(epoch_us({c}) - epoch_us(anchor)), 't': {c}}}" for c in candidates)
+    return f"list_min(list_filter([{listed}], lambda c: c.t is not null)).t"
+
+
+def _on_day(shift: str) -> str:
+    return f"try_cast(strftime(anchor + interval '{shift}', '%Y-%m-%d ') || replace(time, ',', '.') as timestamp)"
+
+
+def _in_year(shift: int) -> str:
+    return f"try_cast((year(anchor) + {shift}) || '-' || lpad(({_MONTH})::varchar, 2, '0') || '-' || lpad(trim(substring(time, 5, 2)), 2, '0') || substring(time, 7) as timestamp)"
+
+
+# Web server times of the corpora carry +0000 only.
+EVENT_TIME = (
+    f"{EVENTS}, dated as (select *, case when regexp_matches(time, '^\\d{{4}}-') then try_cast(rtrim(replace(replace(time, ',', '.'), 'T', ' '), 'Z') as timestamp) "
+    "when regexp_matches(time, '^\\d{2}/') then try_strptime(left(time, 20), '%d/%b/%Y:%H:%M:%S') end as own from entries), "
+    "anchored as (select *, coalesce(last_value(own ignore nulls) over (partition by log_id order by pos rows between unbounded preceding and current row), "
+    "first_value(own ignore nulls) over (partition by log_id order by pos rows between current row and unbounded following)) as anchor from dated), "
+    "happened as materialized (select log_id, line_number, source, level, coalesce(own, case when regexp_matches(time, '^[A-Z]') then "
+    f"{_near([_in_year(i) for i in (-1, 0, 1)])} when regexp_matches(time, '^\\d{{2}}:') then {_near([_on_day(d) for d in ('-1 day', '0 day', '1 day')])} end) as happened_at from anchored)"
+)
+ORACLES["event_time"] = _with(EVENT_TIME, "select log_id, line_number, source, level, epoch_us(happened_at) as micros from happened")
+ORACLES["activity"] = _with(
+    EVENT_TIME,
+    "select epoch_us(date_trunc('hour', happened_at)) as start, epoch_us(date_trunc('hour', happened_at)) + 3600000000 as end, source, level, count(*) as lines from happened "
+    "where happened_at is not null group by date_trunc('hour', happened_at), source, level",
+)
+
 _SOURCES = (
     f"{EVENTS}, sourced as (select *, coalesce(nullif(source, ''), '(unattributed)') as src from entries), "
     f"activity as (select log_id, src as source, count(*) as total, count(*) filter ({ERR}) as errors, count(*) filter (level = 'WARNING') as warnings, "

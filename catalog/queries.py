@@ -18,6 +18,7 @@ from faultline.operators import procedures as PR
 from faultline.operators import reports as R
 from faultline.operators import search as SE
 from faultline.operators import stats as ST
+from faultline.operators import timeline as TL
 from faultline.operators.parse import parse_lines
 from faultline.plans.intake import analyze_documents, take_in
 from faultline.plans.reporting import analyze_logs, check_reports, parse_once
@@ -568,6 +569,16 @@ def error_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.error_onset(loud_entries(spark, sf_dir))
 
 
+def event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = TL.event_times(event_entries(spark, sf_dir))
+    return times.select("log_id", "line_number", "source", "level", F.unix_micros("event_time").alias("micros"))
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = TL.activity(TL.event_times(event_entries(spark, sf_dir)))
+    return counts.select(F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "source", "level", "lines")
+
+
 def pre_onset_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.pre_onset_context(event_entries(spark, sf_dir), 15)
 
@@ -651,4 +662,6 @@ QUERIES: dict[str, Query] = {
     "error_onset": error_onset,
     "pre_onset_context": pre_onset_context,
     "triage_class": triage_class,
+    "event_time": event_time,
+    "activity": activity,
 }
