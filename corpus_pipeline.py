@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import bpe, decontamination, exact_dedup, minhash, toxicity
-from faultline.llm.common import table
+from faultline.llm.common import free_name, table
 from faultline.session import write_once
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -44,8 +44,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ``ids`` and ``n_tokens``; ids that do not decode to the text are an error."""
-    return bpe.with_ids(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).withColumn("n_tokens", F.size("ids"))
+    """The documents with ``ids`` and ``n_tokens`` behind their columns; ids that do not decode to the text are an error.
+
+    Names that are taken get an underscore.
+    """
+    coded = bpe.with_ids(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return coded.withColumn(free_name(coded.columns, "n_tokens"), F.size(coded.columns[-1]))
 
 
 STAGES = [

@@ -1,12 +1,9 @@
 """Byte-level BPE by longest matches and backtracking.
 
 Token bytes are mapped to Latin-1 strings, so an Aho-Corasick automaton over
-characters finds all tokens of a piece.  The encoder takes the longest token at
-each place, goes on if it is compatible with the token before, else tries the
-next shorter one, and steps back where none fits; a place left in that way is
-never entered again, which makes it linear.  Two adjacent tokens are compatible
-if plain merging of their joined bytes gives exactly these two; the answer is
-memoised.  A sequence with all neighbours compatible is what the merges give.
+characters finds the tokens of a pre-token; ``backtracking`` steps through its
+longest matches and gives what the merges give.  Each distinct pre-token is
+encoded once as long as the task remembers it.
 """
 
 from __future__ import annotations
@@ -15,103 +12,74 @@ import base64
 import hashlib
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import pairwise
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from faultline.llm.common import text_of
-from faultline.llm.units import Units
+from faultline.llm.backtracking import LongestMatches
+from faultline.llm.common import free_name, text_of
+from faultline.llm.recent import Recent
 
-MEMO_PAIRS = 1_000_000
+MEMO_PIECES = 400_000
+PIECE_CHARS = 48  # longer pre-tokens are rare and are not kept
 
 
 class BytePairs:
     """Encoder and decoder for ``{token bytes: rank}`` and a pre-token pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("some byte is no token")
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.ranks = {token.decode("latin-1"): rank for token, rank in ranks.items()}
+        self.coded = {token: np.array([rank], "<u4").tobytes() for token, rank in self.ranks.items()}
+        self.matches = LongestMatches(self.ranks, self.merged)
+        self.memo = Recent(MEMO_PIECES)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> BytePairs:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
-    def merged(self, piece: bytes) -> list[int]:
+    def merged(self, text: str) -> list[str]:
         """Plain merging: the lowest rank first, the leftmost of equals."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        parts = list(text)
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
+            joined = [self.ranks.get(a + b, 1 << 60) for a, b in pairwise(parts)]
+            best = min(joined)
+            if best == 1 << 60:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.pairs[left, right] = known
-        return known
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        size = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, (length, rank) in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - length + 1].append((length, rank))  # ends ascend, so lengths do
-        at, path, tries = 0, [], [len(s) for s in starts]
-        open_at = bytearray(b"\1" * (size + 1))
-        while at < size:
-            while tries[at]:
-                tries[at] -= 1
-                length, rank = starts[at][tries[at]]
-                if open_at[at + length] and (not path or self.compatible(path[-1][1], rank)):
-                    path.append((length, rank))
-                    at += length
-                    break
-            else:
-                open_at[at] = 0
-                if not path:
-                    raise ValueError("a byte of the text is no token")
-                at -= path.pop()[0]
-                continue
-            if at < size:
-                tries[at] = len(starts[at])
-        return [rank for _, rank in path]
-
-    def encode_unit(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(text):
-            ids += self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        return np.array(ids, "<u4").tobytes()
-
-    def encode_units(self, texts: Sequence[str]) -> list[bytes]:
-        return [self.encode_unit(t) for t in texts]
+            at = joined.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def encode_piece(self, piece: str) -> bytes:
+        """Ids of one pre-token, as little-endian unsigned 32-bit integers."""
+        text = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        whole = self.coded.get(text)  # a token stands for itself, however its bytes would merge
+        return whole or b"".join(map(self.coded.__getitem__, self.matches.split(text)))
+
+    def encode_text(self, text: str) -> bytes:
+        pieces = self.pattern.findall(text)
+        if pieces and max(map(len, pieces)) > PIECE_CHARS:
+            return b"".join([self.encode_piece(p) if len(p) > PIECE_CHARS else self.memo.each([p], self.encode_piece)[0] for p in pieces])
+        return b"".join(self.memo.each(pieces, self.encode_piece))
+
+    def encode_texts(self, texts: Sequence[str]) -> list[bytes]:
+        return list(map(self.encode_text, texts))
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
 @cache
-def _worker(path: str, pattern: str) -> tuple[BytePairs, Units]:
-    pairs = BytePairs.from_file(path, pattern)
-    return pairs, Units(pairs.encode_units)
+def _worker(path: str, pattern: str) -> BytePairs:
+    return BytePairs.from_file(path, pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -122,9 +90,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, units = _worker(path, pattern)
+        pairs = _worker(path, pattern)
         for batch in batches:
-            coded = units.encode_texts(batch.column(1).to_pylist())
+            coded = pairs.encode_texts(batch.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype("int32")
             values = np.frombuffer(b"".join(coded), "<u4").astype("int32")
             yield pa.RecordBatch.from_arrays(
@@ -136,30 +104,33 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with ``ids`` behind its columns, checked by decoding them; a column ``ids`` is replaced."""
+    """``docs`` with ``ids`` behind its columns, checked by decoding them.
+
+    If ``docs`` has a column of that name, the new one is called ``ids_``.
+    """
+    name = free_name(docs.columns, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, units = _worker(path, pattern)
+        pairs = _worker(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            coded = units.encode_texts(texts)
+            coded = pairs.encode_texts(texts)
             for text, ids in zip(texts, coded, strict=True):
                 if pairs.decode(np.frombuffer(ids, "<u4").tolist()) != text.encode("utf-8", "surrogatepass"):
                     raise ValueError("ids do not decode to the text")
             offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype("int32")
             values = np.frombuffer(b"".join(coded), "<u4").astype("int32")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, name])
 
-    plain = docs.drop("ids")
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row of ``encode``: ``doc_id, bytes``, the decoded bytes.  Null ids give empty bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, _ = _worker(path, pattern)
+        pairs = _worker(path, pattern)
         for batch in batches:
             data = [pairs.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "bytes"])
@@ -175,17 +146,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, units = _worker(path, pattern)
+        pairs = _worker(path, pattern)
         decimal = {rank: str(rank) for rank in pairs.tokens}
         for batch in batches:
             counts, id_sums, text_sums = [], [], []
             texts = batch.column(1).to_pylist()
-            for some in range(0, len(texts), 200):
-                for coded in units.encode_texts(texts[some : some + 200]):
-                    ids = np.frombuffer(coded, "<u4").tolist()
-                    counts.append(len(ids))
-                    id_sums.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    text_sums.append(hashlib.sha256(pairs.decode(ids)).hexdigest())
+            for text in texts:
+                ids = np.frombuffer(pairs.encode_text(text), "<u4").tolist()
+                counts.append(len(ids))
+                id_sums.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                text_sums.append(hashlib.sha256(pairs.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -1,16 +1,9 @@
 """SentencePiece BPE by longest matches and backtracking, and its decoding.
 
-A sequence of pieces is what the merges of a text give exactly if every two
-neighbours are compatible: merging their joined characters alone, best score
-first and leftmost of equals, gives these two again.  So the encoder takes the
-longest piece at each place (Aho-Corasick), goes on while neighbours are
-compatible, else tries the next shorter piece, else steps back.  A bitfield
-marks places from which no way led on; no place is left twice, which makes it
-linear.  Compatibility is found once per pair by re-merging.
-
-Texts are cut before every run of spaces if no piece holds a space behind
-another character: no merge can cross such a place, and each distinct unit
-between two of them is encoded once.
+Merges take the best score first and the leftmost of equals; ``backtracking``
+finds what they give from longest matches.  Texts are cut before every run of
+spaces if no piece holds a space behind another character: no merge can cross
+such a place, and each distinct unit between two of them is encoded once.
 """
 
 from __future__ import annotations
@@ -18,22 +11,20 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 from itertools import pairwise
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from faultline.llm.backtracking import LongestMatches
 from faultline.llm.common import text_of
 from faultline.llm.recent import Recent
 
 MEMO_UNITS = 400_000
-MEMO_PAIRS = 400_000
 UNIT_CHARS = 48  # longer units are rare and are not kept
-BATCH_CHARS = 1_000_000  # texts encoded together share one look into the memo
 
 # ---- fixed values: numbers of the model file's fields, its types, its space and unknown marks ----
 
@@ -139,18 +130,11 @@ class Pieces:
         self.known = frozenset(c for text in self.ids for c in text)
         # pieces that merging never makes are no candidates
         self.ids = {text: ids for text, ids in self.ids.items() if self.merged(text) == [text]}
-        self.shorter: dict[str, str | None] = {}
-        self.automaton = ahocorasick.Automaton()
-        for text in self.ids:
-            self.automaton.add_word(text, text)
-            self.shorter[text] = next((text[:n] for n in range(len(text) - 1, 0, -1) if text[:n] in self.ids), None)
-        self.automaton.make_automaton()
+        self.matches = LongestMatches(self.ids, self.merged)
         self.coded = {text: np.array(ids, "<u4").tobytes() for text, ids in self.ids.items()}
         crossed = any(b == " " != a for text in self.scores for a, b in pairwise(text))
         self.units = None if crossed else re.compile(" +[^ ]*|[^ ]+")
         self.memo = Recent(MEMO_UNITS)
-        self.fits: set[tuple[str, str]] = set()
-        self.clash: set[tuple[str, str]] = set()
 
     # ------------------------------------------------------------ encoding
 
@@ -166,83 +150,33 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, pair: tuple[str, str]) -> bool:
-        if pair in self.fits:
-            return True
-        if pair in self.clash:
-            return False
-        good = self.merged(pair[0] + pair[1]) == [*pair]
-        known = self.fits if good else self.clash
-        if len(known) >= MEMO_PAIRS:
-            known.clear()
-        known.add(pair)
-        return good
-
-    def split(self, text: str) -> list[str]:
-        """Pieces of a text of known characters."""
-        greedy = [piece for _, piece in self.automaton.iter_long(text)]
-        pairs = list(zip(greedy, greedy[1:]))  # noqa: B905
-        if sum(map(len, greedy)) == len(text) and (self.fits.issuperset(pairs) or all(map(self.compatible, pairs))):
-            return greedy
-        return self._backtrack(text)
-
-    def _backtrack(self, text: str) -> list[str]:
-        longest: list[str | None] = [None] * (len(text) + 1)
-        for end, piece in self.automaton.iter(text):
-            longest[end + 1 - len(piece)] = piece  # ends ascend: a later match from the same place is longer
-        open_at = bytearray(b"\xff" * (len(text) // 8 + 1))
-        path: list[str] = []
-        at, piece = 0, longest[0]
-        while at < len(text):
-            end = at + len(piece)
-            if open_at[end >> 3] >> (end & 7) & 1 and (not path or self.compatible((path[-1], piece))):
-                path.append(piece)
-                at, piece = end, longest[end]
-                continue
-            piece = self.shorter[piece]
-            while piece is None:
-                open_at[at >> 3] &= ~(1 << (at & 7))
-                last = path.pop()  # a path exists: the plain merges are one
-                at -= len(last)
-                piece = self.shorter[last]
-        return path
-
     def encode_unit(self, text: str) -> bytes:
         whole = self.coded.get(text)
         if whole is not None:
             return whole
         if self.known.issuperset(text):
-            return b"".join(map(self.coded.__getitem__, self.split(text)))
+            return b"".join(map(self.coded.__getitem__, self.matches.split(text)))
         out, at = [], 0
         for i, char in enumerate([*text, ""]):
             if char not in self.known:  # no piece holds it: merges stop on both sides
                 if at < i:
-                    out += [self.coded[p] for p in self.split(text[at:i])]
+                    out += [self.coded[p] for p in self.matches.split(text[at:i])]
                 out.append(np.array([self.bytes[b] for b in char.encode()], "<u4").tobytes())
                 at = i + 1
         return b"".join(out)
 
-    def encode_units(self, units: Sequence[str]) -> list[bytes]:
-        return list(map(self.encode_unit, units))
-
-    def encode_texts(self, texts: Sequence[str]) -> Iterator[bytes]:
-        """Ids of each text without begin and end, as little-endian unsigned 32-bit integers."""
-        waiting, size = [], 0
-        for text in texts:
-            waiting.append(text)
-            size += len(text)
-            if size > BATCH_CHARS:
-                yield from self._encode_some(waiting)
-                waiting, size = [], 0
-        yield from self._encode_some(waiting)
-
-    def _encode_some(self, texts: Sequence[str]) -> Iterator[bytes]:
-        plain = [self.prefix + text.replace(SPACE, " ") if text else "" for text in texts]
-        split = [self.units.findall(text) if self.units else [text] for text in plain]
-        short = {unit for units in split for unit in units if len(unit) <= UNIT_CHARS}
-        found = self.memo.answers(short, self.encode_units)
-        for units in split:
-            yield b"".join([found.get(u) or self.encode_unit(u) for u in units])
+    def encode_text(self, text: str) -> bytes:
+        """Ids of a text without begin and end, as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        plain = self.prefix + text.replace(SPACE, " ")
+        units = self.units.findall(plain) if self.units else [plain]
+        if max(map(len, units)) > UNIT_CHARS:
+            return b"".join([self.encode_unit(u) if len(u) > UNIT_CHARS else self.memo.each([u], self.encode_unit)[0] for u in units])
+        return b"".join(self.memo.each(units, self.encode_unit))
+
+    def encode_texts(self, texts: Iterable[str]) -> Iterator[bytes]:
+        return map(self.encode_text, texts)
 
     # ------------------------------------------------------------ decoding
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable, Hashable, Sequence
 from typing import Any
 
 
 class Recent:
-    """Keeps answers in two generations of at most ``limit`` entries each.
+    """Keeps answers (true values) in two generations of about ``limit`` entries each.
 
-    An entry that is asked for moves to the young generation; when that is full
-    it becomes the old one and the former old one is dropped.  Results never
-    depend on what is kept.
+    An old entry that is asked for becomes young again; when the young ones are
+    full they become the old ones and the former old ones are dropped.  Results
+    never depend on what is kept.
     """
 
     def __init__(self, limit: int):
@@ -19,21 +19,34 @@ class Recent:
         self.young: dict[Hashable, Any] = {}
         self.old: dict[Hashable, Any] = {}
 
-    def answers(self, keys: Iterable[Hashable], ask: Callable[[list], Iterable]) -> dict:
-        """Answers of distinct ``keys``; ``ask`` gives those of the missing ones, in order."""
+    def _age(self) -> None:
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+
+    def each(self, keys: Sequence[Hashable], ask: Callable[[Any], Any]) -> list:
+        """Answer of every key; ``ask`` gives an unknown one."""
+        self._age()
         young, old = self.young, self.old
-        unseen = [k for k in keys if k not in young]
-        kept = {k: old[k] for k in unseen if k in old}
-        missing = [k for k in unseen if k not in kept]
-        fresh = dict(zip(missing, ask(missing), strict=True)) if missing else {}
-        if len(young) + len(kept) + len(fresh) > self.limit:
-            self.old, self.young = young, {}
-            found = {k: young[k] for k in keys if k in young}
-        else:
-            found = young
-        self.young.update(kept)
-        self.young.update(fresh)
-        if found is not young:
-            found.update(kept)
-            found.update(fresh)
+        found = list(map(young.get, keys))
+        if not all(found):
+            for i, answer in enumerate(found):
+                if answer is None:
+                    key = keys[i]
+                    answer = young.get(key) or old.get(key) or ask(key)
+                    found[i] = young[key] = answer
         return found
+
+    def learn(self, keys: Sequence[Hashable], ask: Callable[[list], Sequence]) -> None:
+        """Makes the answers of distinct ``keys`` young; ``ask`` gives all unknown ones at once."""
+        self._age()
+        young, old = self.young, self.old
+        missing = []
+        for key in keys:
+            if key not in young:
+                answer = old.get(key)
+                if answer is None:
+                    missing.append(key)
+                else:
+                    young[key] = answer
+        if missing:
+            young.update(zip(missing, ask(missing), strict=True))

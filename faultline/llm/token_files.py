@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby, pairwise
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +25,39 @@ from faultline.llm.units import Units
 from faultline.session import scratch_path, write_once
 
 BLOCK_IDS = 1 << 17
+SOME_UNITS = 4096
 END_ID = 0
 
 
+def _encode_joined(tokenizer: Any, units: list[str]) -> list[bytes]:
+    """Ids of units that each start with one space and another character: joined, they part where they did."""
+    found = tokenizer.encode("".join(units), add_special_tokens=False)
+    starts = np.cumsum([0, *map(len, units)])
+    at = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.ids))
+    ends = np.searchsorted(np.searchsorted(starts, at, "right"), np.arange(1, len(units) + 1), "right")
+    ids = np.array(found.ids, "<u4")
+    return [ids[a:b].tobytes() for a, b in pairwise([0, *ends.tolist()])]
+
+
 @cache
 def _units(path: str) -> Units:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def encode(texts: list[str]) -> list[bytes]:
+        joins = [t[:1] == " " and not t[1:2].isspace() and len(t) > 1 for t in texts]
         coded: list[bytes] = []
-        for i in range(0, len(texts), 4096):  # an encoding is far larger than its ids
-            found = tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)
-            coded += [np.array(e.ids, "<u4").tobytes() for e in found]
+        for joined, run in groupby(zip(joins, texts, strict=True), key=lambda x: x[0]):
+            some = [t for _, t in run]
+            for i in range(0, len(some), SOME_UNITS):  # an encoding is far larger than its ids
+                part = some[i : i + SOME_UNITS]
+                if joined:
+                    coded += _encode_joined(tokenizer, part)
+                else:
+                    found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                    coded += [np.array(e.ids, "<u4").tobytes() for e in found]
         return coded
 
     return Units(encode)

@@ -1,53 +1,53 @@
-"""Cached byte-level BPE of texts, cut where a pre-token always ends.
+"""Ids of texts that are cut where a pre-token always ends.
 
 A single space before a character that is no white space always starts a new
 pre-token of the byte-level pattern, so a text can be cut there and each
-distinct unit encoded once.  A unit is kept under its text without the leading
-space, its ids as little-endian unsigned 32-bit bytes.  The memo is emptied at
-``limit`` entries, so memory stays bounded; results do not depend on it.
+distinct unit encoded once.  Texts with other white space are encoded whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-LIMIT = 500_000
+from faultline.llm.recent import Recent
+
+LIMIT = 400_000
+BATCH_CHARS = 2_000_000  # texts encoded together, so that a batch's units stay few
+UNIT_CHARS = 64  # longer units are encoded with the next batch again
 
 
 class Units:
     """``encode(list of strings) -> list of id bytes`` applied once per distinct unit."""
 
     def __init__(self, encode: Callable[[Sequence[str]], list[bytes]], limit: int = LIMIT):
-        self.encode, self.limit, self.memo = encode, limit, {}
+        self.encode, self.memo = encode, Recent(limit)
 
     def encode_texts(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text.  Looks at some texts at a time, so that a batch's units stay few."""
+        """Ids of each text."""
         out: list[bytes] = []
         group, size = [], 0
         for text in texts:
             group.append(text)
             size += len(text)
-            if size > 2_000_000:
+            if size > BATCH_CHARS:
                 out += self._some(group)
                 group, size = [], 0
         return out + self._some(group)
 
     def _some(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        split = [text.split(" ") for text in texts]
+        cut = [self._cut(text) for text in texts]
+        wanted = {unit for units in cut for unit in units}
+        kept = [u for u in wanted if 0 < len(u) <= UNIT_CHARS]
+        self.memo.learn(kept, self.encode)
+        long = [u for u in wanted if len(u) > UNIT_CHARS]
+        rest = dict(zip(long, self.encode(long), strict=True))
+        found = self.memo.young.get
+        return [b"".join([found(u) or rest[u] for u in units if u]) for units in cut]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        first, *rest = text.split(" ")
         # a part that is empty or starts with white space: the space before it may belong to a longer run
-        plain = [not any(not p or p[0].isspace() for p in parts[1:]) for parts in split]
-        wanted: set[str] = set()
-        for parts, ok in zip(split, plain, strict=True):
-            if ok:
-                wanted.update(parts[1:])
-        missing = list(wanted.difference(self.memo))
-        if missing:
-            self.memo.update(zip(missing, self.encode([" " + p for p in missing]), strict=True))
-        alone = self.encode([parts[0] if ok else text for text, parts, ok in zip(texts, split, plain, strict=True)])
-        get = self.memo.__getitem__
-        return [
-            first + b"".join(map(get, parts[1:])) if ok else first
-            for first, parts, ok in zip(alone, split, plain, strict=True)
-        ]
+        if any(not p or p[0].isspace() for p in rest):
+            return [text]
+        return [first, *(" " + p for p in rest)]
