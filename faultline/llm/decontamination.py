@@ -11,16 +11,19 @@ cover enough of it, and its answer words (the rarest ones) must be there.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from faultline.llm.common import text_of
+from faultline.llm.common import free_name, text_of
+from faultline.llm.recent import Recent
+from faultline.session import write_once
 
 WIDTH = 1 << 15  # hashed words
 RANK, SPARE, POWER = 64, 16, 2  # of the SVD
@@ -65,26 +68,49 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def inverse_frequency(docs: DataFrame) -> np.ndarray:
+def _place_or_none(word: str) -> int:
+    """Place of a word before its punctuation is taken off, plus 2; 1 if nothing is left of it."""
+    bare = word.strip(_EDGES)
+    return _place(bare) + 2 if bare else 1
+
+
+@cache
+def _places() -> Recent:
+    return Recent(MEMO_WORDS)
+
+
+def word_places(text: str | None) -> np.ndarray:
+    """Hashed place of every word of ``plain_words``, two bytes each."""
+    found = np.array(_places().each((text or "").lower().split(), _place_or_none), np.int64)
+    return (found[found > 1] - 2).astype("<u2")
+
+
+def with_places(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the places of all words as bytes in ``name``; a map without shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_places(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
+def inverse_frequency(placed: DataFrame, name: str) -> np.ndarray:
     """IDF of each hashed word over all documents: at most ``WIDTH`` counts reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros(WIDTH, np.int64), 0
-        memo: dict[str, int] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for places in batch.column(0).to_pylist():
                 rows += 1
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                words = set(text.lower().split())
-                memo.update((w, _place(w.strip(_EDGES))) for w in words.difference(memo))
-                seen[np.unique(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))] += 1
+                seen[np.unique(np.frombuffer(places, "<u2"))] += 1
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(found, -1)), pa.array(np.append(seen[found], rows))], ["place", "n"]
         )
 
-    rows = docs.select(text_of().alias("text")).mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    rows = placed.select(name).mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
     counts = {r.place: r.n for r in rows}
     total = counts.pop(-1, 0)
     idf = np.full(WIDTH, np.log(1 + total))
@@ -159,7 +185,6 @@ class Searcher:
     space: np.ndarray
     ids: list
     passages: list[list[str]]
-    memo: dict[str, int] = field(default_factory=dict, repr=False)
 
     def prepare(self) -> Searcher:
         self.squares = (self.idf**2).astype(np.float64)
@@ -172,20 +197,16 @@ class Searcher:
             # a word that no document holds cannot tell a copy from a rewording
             ranked = sorted((w for w in set(words) if self.idf[_place(w)] < unseen), key=lambda w: (-self.idf[_place(w)], w))
             answers.append(set(ranked[:ANSWER_WORDS]))
-        self.latent = np.array(latent, np.float32).reshape(-1, self.space.shape[1])
+        self.latent = np.array(latent, np.float32).reshape(len(latent), self.space.shape[1])
         self.latent /= np.maximum(np.linalg.norm(self.latent, axis=1, keepdims=True), 1e-6)
         self.answers = answers
         return self
 
-    def candidates(self, words: list[str]) -> list[tuple[int, int]]:
+    def candidates(self, places: np.ndarray) -> list[tuple[int, int]]:
         """(passage, first word of a window) whose cosine is high enough."""
-        n = len(words)
+        n = len(places)
         if not n or not len(self.passages):
             return []
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        self.memo.update((w, _place(w)) for w in set(words).difference(self.memo))
-        places = np.fromiter(map(self.memo.__getitem__, words), np.int64, n)
         size = min(WINDOW, n)
         starts = np.arange(0, n - size + 1, STRIDE)
         if starts[-1] != n - size:
@@ -203,12 +224,13 @@ class Searcher:
                 found.append((int(p), int(some[w])))
         return found
 
-    def leaks(self, text: str | None) -> list[tuple[object, float]]:
+    def leaks(self, text: str | None, places: np.ndarray) -> list[tuple[object, float]]:
         """(item, best share of common words) of the passages that the text holds."""
-        words = plain_words(text)
+        found = self.candidates(places)
+        words = plain_words(text) if found else []
         best: dict[object, float] = {}
         tried: set[tuple[int, int]] = set()
-        for p, start in self.candidates(words):
+        for p, start in found:
             passage = self.passages[p]
             slack = len(passage)
             region = words[max(0, start - slack) : start + WINDOW + slack]
@@ -225,21 +247,24 @@ class Searcher:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with ``leaks`` behind its columns: array of (item_id, share) of the items it holds.
-
-    A column ``leaks`` is replaced.  Null and empty texts hold nothing, empty
-    items are in nothing, items with equal texts are all reported.  A map over
-    the documents without shuffle; what it is sent is bounded: ``WIDTH`` rows
-    and ``ITEMS_AT_ONCE`` passages, of which larger benchmarks take several maps.
+    """``docs`` with an array of (item_id, share) of the items it holds behind its columns.
+
+    The array is called ``leaks``, or ``leaks_`` if there is such a column.
+    Null and empty texts hold nothing, empty items are in nothing, items with
+    equal texts are all reported.  Each text is split into words once; counts
+    and windows come from the stored word places.  Maps without shuffle; what
+    they are sent is bounded: ``WIDTH`` rows and ``ITEMS_AT_ONCE`` passages, of
+    which larger benchmarks take several maps.
     """
     spark = docs.sparkSession
-    idf = inverse_frequency(docs)
+    name = free_name(docs.columns, "leaks")
+    at = free_name([*docs.columns, name], "places")
+    placed = write_once(with_places(docs, at), "places")
+    idf = inverse_frequency(placed, at)
     passages = cut_passages(benchmark.where("item_id IS NOT NULL"))
     space = latent_space(passages, idf)
     item_type = dict(passages.dtypes)["item_id"]
-    plain = docs.drop("leaks")
-    names = plain.columns
-    out = plain.withColumn("leaks", F.expr(f"cast(array() AS array<struct<item_id: {item_type}, share: double>>)"))
+    out = placed.withColumn(name, F.expr(f"cast(array() AS array<struct<item_id: {item_type}, share: double>>)"))
     n = passages.count()
     slices = -(-n // ITEMS_AT_ONCE)
     for k in range(slices):
@@ -250,14 +275,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             searcher = held.value.prepare()
             for batch in batches:
-                kind = batch.schema.field("leaks").type
-                more = [[{"item_id": i, "share": s} for i, s in searcher.leaks(t)] for t in batch.column("text").to_pylist()]
-                before = batch.column("leaks").to_pylist()
-                both = pa.array([a + b for a, b in zip(before, more, strict=True)], kind)
-                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, both], [*names, "leaks"])
+                texts = zip(batch.column("text").to_pylist(), batch.column(at).to_pylist(), strict=True)
+                more = [[{"item_id": i, "share": s} for i, s in searcher.leaks(t, np.frombuffer(p, "<u2").astype(np.int64))] for t, p in texts]
+                before = batch.column(name).to_pylist()
+                both = pa.array([a + b for a, b in zip(before, more, strict=True)], batch.schema.field(name).type)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], both], batch.schema.names)
 
-        out = out.select(*names, "leaks").mapInArrow(run, StructType(list(out.schema.fields)))
-    return out
+        out = out.mapInArrow(run, StructType(list(out.schema.fields)))
+    return out.drop(at)
 
 
 def leak_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -268,4 +293,5 @@ def leak_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    return find_leaks(docs, benchmark).where("size(leaks) = 0").select(*docs.columns)
+    found = find_leaks(docs, benchmark)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)

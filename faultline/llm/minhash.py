@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import text_of, words_of
+from faultline.llm.common import free_name, text_of, words_of
 from faultline.llm.components import components
 from faultline.session import write_once
 
@@ -321,8 +321,9 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
     Documents that are linked with nothing stay, those without an id or text too.
     """
-    gone = near_duplicates(docs, size).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("bigint") == F.col("_gone"), "left_anti").select(*docs.columns)
+    name = free_name(docs.columns, "gone")
+    gone = near_duplicates(docs, size).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("bigint") == F.col(name), "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

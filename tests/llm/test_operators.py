@@ -110,6 +110,7 @@ def test_decontamination_finds_planted_and_leaves_clean(spark):
     assert pairs == {(d, d - 100) for d in planted}
     kept = decontamination.drop_leaks(docs, bench)
     assert kept.columns == docs.columns and set(rows(kept)) == {d for d, _ in table} - set(planted)
+    assert all(r.leaks == "x" and r.item_id == 1 for r in kept.collect())
     assert decontamination.drop_leaks(docs, bench.limit(0)).count() == len(table)
 
 
