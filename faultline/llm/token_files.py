@@ -10,8 +10,6 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import cache
-from itertools import groupby, pairwise
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -25,42 +23,38 @@ from faultline.llm.units import Units
 from faultline.session import scratch_path, write_once
 
 BLOCK_IDS = 1 << 17
-SOME_UNITS = 4096
+SOME_TEXTS, SOME_WORDS = 200, 256
+SPACE = "Ġ"  # as byte-level vocabularies spell it
 END_ID = 0
 
 
-def _encode_joined(tokenizer: Any, units: list[str]) -> list[bytes]:
-    """Ids of units that each start with one space and another character: joined, they part where they did."""
-    found = tokenizer.encode("".join(units), add_special_tokens=False)
-    starts = np.cumsum([0, *map(len, units)])
-    at = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.ids))
-    ends = np.searchsorted(np.searchsorted(starts, at, "right"), np.arange(1, len(units) + 1), "right")
-    ids = np.array(found.ids, "<u4")
-    return [ids[a:b].tobytes() for a, b in pairwise([0, *ends.tolist()])]
-
-
 @cache
 def _units(path: str) -> Units:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    spaced = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+    spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(texts: list[str]) -> list[bytes]:
+        # an encoding is far larger than its ids
+        return [ids.tobytes() for i in range(0, len(texts), SOME_TEXTS) for ids in encode(texts[i : i + SOME_TEXTS])]
 
-    def encode(texts: list[str]) -> list[bytes]:
-        joins = [t[:1] == " " and not t[1:2].isspace() and len(t) > 1 for t in texts]
+    def words(some: list[str]) -> list[bytes]:
+        """Ids of words that follow a space, many in one text: only a word's first token starts with a space."""
         coded: list[bytes] = []
-        for joined, run in groupby(zip(joins, texts, strict=True), key=lambda x: x[0]):
-            some = [t for _, t in run]
-            for i in range(0, len(some), SOME_UNITS):  # an encoding is far larger than its ids
-                part = some[i : i + SOME_UNITS]
-                if joined:
-                    coded += _encode_joined(tokenizer, part)
-                else:
-                    found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                    coded += [np.array(e.ids, "<u4").tobytes() for e in found]
+        for i in range(0, len(some), SOME_WORDS):
+            part = some[i : i + SOME_WORDS]
+            (ids,) = encode(["".join([" " + w for w in part])])
+            starts = [*np.flatnonzero(spaced[ids]).tolist(), len(ids)]
+            coded += [ids[a:b].tobytes() for a, b in zip(starts, starts[1:], strict=False)]
         return coded
 
-    return Units(encode)
+    return Units(whole, words)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:

@@ -2,25 +2,28 @@
 
 A single space before a character that is no white space always starts a new
 pre-token of the byte-level pattern, so a text can be cut there and each
-distinct unit encoded once.  Texts with other white space are encoded whole.
+distinct word encoded once.  Texts with other runs of white space at a space,
+or with very long words, are encoded whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from faultline.llm.recent import Recent
 
 LIMIT = 400_000
-BATCH_CHARS = 2_000_000  # texts encoded together, so that a batch's units stay few
-UNIT_CHARS = 64  # longer units are encoded with the next batch again
+BATCH_CHARS = 2_000_000  # texts encoded together, so that a batch's words stay few
+WORD_CHARS = 64
+_ODD = re.compile(r" (?:\s|$)")
 
 
 class Units:
-    """``encode(list of strings) -> list of id bytes`` applied once per distinct unit."""
+    """``whole`` gives the ids of texts, ``words`` those of distinct words that each follow a space."""
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[bytes]], limit: int = LIMIT):
-        self.encode, self.memo = encode, Recent(limit)
+    def __init__(self, whole: Callable[[Sequence[str]], list[bytes]], words: Callable[[Sequence[str]], list[bytes]], limit: int = LIMIT):
+        self.whole, self.words, self.memo = whole, words, Recent(limit)
 
     def encode_texts(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text."""
@@ -35,19 +38,22 @@ class Units:
         return out + self._some(group)
 
     def _some(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [self._cut(text) for text in texts]
-        wanted = {unit for units in cut for unit in units}
-        kept = [u for u in wanted if 0 < len(u) <= UNIT_CHARS]
-        self.memo.learn(kept, self.encode)
-        long = [u for u in wanted if len(u) > UNIT_CHARS]
-        rest = dict(zip(long, self.encode(long), strict=True))
-        found = self.memo.young.get
-        return [b"".join([found(u) or rest[u] for u in units if u]) for units in cut]
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        # a part that is empty or starts with white space: the space before it may belong to a longer run
-        if any(not p or p[0].isspace() for p in rest):
-            return [text]
-        return [first, *(" " + p for p in rest)]
+        starts, rests, founds = [], [], []
+        missing: set[str] = set()
+        known = self.memo.young.get
+        for text in texts:
+            first, *rest = text.split(" ")
+            if rest and (_ODD.search(text) or max(map(len, rest)) > WORD_CHARS):
+                first, rest = text, []
+            found = list(map(known, rest))
+            if not all(found):
+                missing.update(w for w, ids in zip(rest, found, strict=True) if ids is None)
+            starts.append(first)
+            rests.append(rest)
+            founds.append(found)
+        self.memo.learn(list(missing), self.words)
+        new = self.memo.young
+        return [
+            first + b"".join([ids or new[w] for w, ids in zip(rest, found, strict=True)])
+            for first, rest, found in zip(self.whole(starts), rests, founds, strict=True)
+        ]

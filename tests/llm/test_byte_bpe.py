@@ -15,6 +15,7 @@ from tiktoken.load import load_tiktoken_bpe  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from faultline.llm import bpe, token_files  # noqa: E402
+from faultline.llm.recent import Recent  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,9 +57,18 @@ def test_backtracking_equals_plain_merging(pairs):
 
 def test_units_with_special_tokens_equal_the_library():
     tokenizer = Tokenizer.from_file(JSON)
-    coded = token_files._units(JSON).encode_texts(TEXTS)
-    for text, ids in zip(TEXTS, coded, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    units = token_files._units(JSON)
+    expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in TEXTS]
+    large, limits = units.memo, (units.memo.limit, 3, 60)
+    try:
+        for limit in limits:
+            units.memo = Recent(limit)
+            for at in range(0, len(TEXTS), 100):
+                coded = units.encode_texts(TEXTS[at : at + 100])
+                for text, ids, own in zip(TEXTS[at : at + 100], coded, expected[at : at + 100], strict=True):
+                    assert np.frombuffer(ids, "<u4").tolist() == own, text
+    finally:
+        units.memo = large
 
 
 def test_tables_with_odd_rows(spark):
