@@ -125,7 +125,7 @@ def joined(column: str | Column, separator: str = ",") -> Column:
 
 
 def flat_groups(df: DataFrame) -> DataFrame:
-    return df.withColumns(
+    return df.drop("samples").withColumns(
         {"sources": joined("sources", ", "), "sample_line_numbers": joined("sample_line_numbers")}
     )
 
@@ -415,7 +415,7 @@ def merge_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined("sources", ", ").alias("sources"),
         "first_seen",
         "last_seen",
-        joined("line_numbers").alias("line_numbers"),
+        joined("lines.line_number").alias("line_numbers"),
         "any_critical",
     )
 
@@ -431,7 +431,7 @@ def incident_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = I.incident_evidence(merged(spark, sf_dir))
     return cited.select(
         "log_id", "incident_rank", F.posexplode("evidence").alias("place", "cited")
-    ).select("log_id", "incident_rank", F.col("place").cast("bigint").alias("place"), "cited.*")
+    ).select("log_id", "incident_rank", F.col("place").cast("bigint").alias("place"), "cited.line_number", "cited.why_relevant")
 
 
 def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:

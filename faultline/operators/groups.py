@@ -44,7 +44,7 @@ def _merge(parts: DataFrame, samples: int, *by: str) -> DataFrame:
 
 
 def error_groups(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Error and warning groups: count, sources, time range, sample message and lines.
+    """Error and warning groups: count, sources, time range, sample message, first lines with their text.
 
     Lines are reduced first inside chunks of a log, then inside spans of
     chunks, then per group: a list that is collected never holds more than one
@@ -59,17 +59,19 @@ def error_groups(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.expr(f"pos div {CHUNK_LINES}").alias("_chunk"),
         "pos",
         "line_number",
+        "raw",
         "time",
         "source",
         trim_excerpt(F.col("message")).alias("message"),
     )
+    sample = F.struct("pos", "line_number", "raw", "time", "source")
     in_chunk = lines.groupBy(*_KEY, "_chunk").agg(
         F.count("*").alias("count"),
         F.min(F.struct("pos", "message", "time")).alias("first_entry"),
         F.min(F.when(F.col("time").isNotNull(), timed)).alias("first_timed"),
         F.max(F.when(F.col("time") != "", timed)).alias("last_timed"),
         F.collect_set(F.when(F.col("source") != "", F.col("source"))).alias("sources"),
-        F.slice(F.array_sort(F.collect_list(F.struct("pos", "line_number"))), 1, limits.samples).alias("samples"),
+        F.slice(F.array_sort(F.collect_list(sample)), 1, limits.samples).alias("samples"),
     )
     spans = in_chunk.withColumn("_span", F.expr(f"_chunk div {_CHUNKS_PER_SPAN}"))
     return _merge(_merge(spans, limits.samples, "_span"), limits.samples).select(
@@ -80,6 +82,7 @@ def error_groups(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.coalesce("last_timed.time", "first_entry.time").alias("last_seen"),
         F.col("first_entry.message").alias("sample_message"),
         F.transform("samples", lambda s: s["line_number"]).alias("sample_line_numbers"),
+        F.transform("samples", lambda s: s.dropFields("pos")).alias("samples"),
         F.col("first_entry.pos").alias("first_pos"),
     )
 
@@ -102,5 +105,5 @@ def error_group_report(entries: DataFrame, limits: Limits = Limits()) -> DataFra
     return (
         report.join(line_totals(entries), "log_id")
         .withColumn("groups_truncated", truncated)
-        .drop("_groups", "first_pos")
+        .drop("_groups", "first_pos", "samples")
     )

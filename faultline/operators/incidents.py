@@ -102,7 +102,7 @@ def titled_groups(groups: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def incident_lines(titled: DataFrame, leaders: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """First distinct lines of each incident, ``limits.evidence`` at most, as ``place, line_number``.
+    """First distinct lines of each incident, ``limits.evidence`` at most, as ``place`` and ``line``.
 
     All samples of the leading group come first, then the first
     ``limits.later_samples`` of each other one, in the order of causes.
@@ -110,12 +110,13 @@ def incident_lines(titled: DataFrame, leaders: DataFrame, limits: Limits = Limit
     leading = F.col("cause") == F.col("_leader")
     sampled = (
         titled.join(leaders.select(*_TITLE, F.col("cause").alias("_leader")), _TITLE)
-        .select(*_TITLE, "cause", leading.alias("_leading"), F.posexplode("sample_line_numbers").alias("_i", "line_number"))
+        .select(*_TITLE, "cause", leading.alias("_leading"), F.posexplode("samples").alias("_i", "line"))
         .where(F.col("_leading") | (F.col("_i") < limits.later_samples))
     )
-    first = sampled.groupBy(*_TITLE, "line_number").agg(F.min(F.struct("cause", "_i")).alias("_at"))
+    at = F.struct("cause", "_i")
+    first = sampled.groupBy(*_TITLE, "line.line_number").agg(F.min(at).alias("_at"), F.min_by("line", at).alias("line"))
     return head(first, _TITLE, [F.col("_at")], limits.evidence).select(
-        *_TITLE, (F.col("rank") - 1).alias("place"), "line_number"
+        *_TITLE, (F.col("rank") - 1).alias("place"), "line"
     )
 
 
@@ -145,7 +146,7 @@ def merge_incidents(titled: DataFrame, totals: DataFrame, limits: Limits = Limit
     lines = (
         incident_lines(titled, merged, limits)
         .groupBy(*_TITLE)
-        .agg(F.array_sort(F.collect_list(F.struct("place", "line_number"))).alias("_lines"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("_lines"))
     )
     return (
         kept.join(sources, _TITLE, "left")
@@ -156,7 +157,7 @@ def merge_incidents(titled: DataFrame, totals: DataFrame, limits: Limits = Limit
                 "first_seen": F.coalesce("first_seen", "leader.first_seen"),
                 "last_seen": F.coalesce("last_seen", "leader.last_seen"),
                 "sources": F.coalesce("sources", F.array().cast("array<string>")),
-                "line_numbers": F.transform("_lines", lambda p: p["line_number"]),
+                "lines": F.transform("_lines", lambda p: p["line"]),
             }
         )
         .drop("cause", "_lines")
@@ -221,20 +222,24 @@ def incident_text(incidents: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def incident_evidence(incidents: DataFrame) -> DataFrame:
-    """The incident's lines, each with the reason it is cited."""
+    """The incident's lines with their text, each with the reason it is cited."""
     return incidents.withColumn(
         "evidence",
         F.transform(
-            "line_numbers",
+            "lines",
             lambda n: F.struct(
-                n.alias("line_number"), F.lit(EVIDENCE_REASON).alias("why_relevant")
+                n["line_number"].alias("line_number"),
+                n["raw"].alias("raw_text"),
+                n["time"].alias("timestamp"),
+                n["source"].alias("source"),
+                F.lit(EVIDENCE_REASON).alias("why_relevant"),
             ),
         ),
     )
 
 
 def build_incidents(groups: DataFrame, totals: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Incident rows of every log, ready for citation checking, from its groups and line totals."""
+    """Incident rows of every log, with the text of their lines, from its groups and line totals."""
     merged = merge_incidents(titled_groups(groups, limits), totals, limits)
     full = incident_evidence(incident_text(incident_confidence(incident_severity(merged)), limits))
     return full.select(

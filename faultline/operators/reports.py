@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import variants as V
 from faultline.functions.text import first_match, strip
+from faultline.operators.lookup import only_wanted
 from faultline.operators.ranking import head
 from faultline.schemas import (
     EVIDENCE,
@@ -16,6 +17,7 @@ from faultline.schemas import (
     SEVERITIES,
     STATUSES,
 )
+from faultline.session import write_once
 
 UNVERIFIED_CONFIDENCE = 0.3
 
@@ -229,17 +231,17 @@ def report_incidents(picked: DataFrame) -> DataFrame:
 def verify_evidence(incidents: DataFrame, entries: DataFrame) -> DataFrame:
     """Keep citations of lines that exist and take their text from the entries.
 
-    Only cited lines are looked up: the entries are reduced to them by an
-    equi-join before anything is grouped.  Of repeated line numbers the last
-    entry counts.
+    Entries are reduced to cited lines where they are read, so no other text
+    moves.  Of repeated line numbers the last entry counts.
     """
+    line = F.col("cited.line_number")
     cited = incidents.select(
         "log_id", "incident_pos", F.posexplode("evidence").alias("evidence_pos", "cited")
-    ).select("log_id", "incident_pos", "evidence_pos", "cited.*")
-    wanted = cited.select("log_id", "line_number").distinct()
+    ).select("log_id", "incident_pos", "evidence_pos", line.alias("line_number"), "cited.why_relevant")
+    wanted = write_once(cited.select("log_id", "line_number").distinct(), "cited")
+    lines = entries.select("log_id", "line_number", "pos", "raw", "time", "source")
     facts = (
-        entries.select("log_id", "line_number", "pos", "raw", "time", "source")
-        .join(wanted, ["log_id", "line_number"])
+        only_wanted(lines, wanted, ["log_id", "line_number"])
         .groupBy("log_id", "line_number")
         .agg(F.max_by(F.struct("raw", "time", "source"), "pos").alias("fact"))
     )

@@ -34,13 +34,18 @@ def analyze_logs(logs: DataFrame, entries: DataFrame, limits: Limits = Limits())
     """Built-in analysis of every log, over all its groups unless ``limits`` says otherwise.
 
     Line totals and incidents are small next to the entries and read by several
-    branches, so each is written once.  Only the cited lines are looked up in
-    the entries again, and those are errors or warnings, so entries parsed with
+    branches, so each is written once.  Incidents carry the text of their lines.
+    Only structured logs may repeat a line number, so only theirs are looked up
+    in the entries, of which the last one counts.  Entries parsed with
     ``loud_only`` will do.
     """
     totals = write_once(line_totals(entries), "totals")
     incidents = write_once(build_incidents(groups_to_fold(entries, limits), totals, limits), "incidents")
-    checked = R.penalize_unverified(R.verify_evidence(incidents, entries))
+    listed = logs.where("kind = 'structured'").select("log_id")
+    cited = incidents.join(listed, "log_id", "left_semi")
+    checked = incidents.join(listed, "log_id", "left_anti").unionByName(
+        R.verify_evidence(cited, entries).drop("cited_count")
+    )
     status = overall_status(logs.select("log_id", "log_source").join(totals, "log_id"), incidents)
     analysed = R.assemble_result(status, checked, limits.incidents)
     return analysed.unionByName(R.empty_log_reports(R.logs_without_entries(logs, totals)))

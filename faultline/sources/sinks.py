@@ -6,16 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stamp(results: DataFrame) -> DataFrame:
-    """Add the report's own id and time."""
-    return results.select(
-        F.uuid().alias("analysis_id"),
+def stamp(results: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Add the report's own id, its run and the time.
+
+    A run is named by ``run_id``, by default the day.  The id of a report
+    follows from run and log, so a repeated run gives the same ids.
+    """
+    run = F.date_format(F.current_timestamp(), "yyyy-MM-dd") if run_id is None else F.lit(run_id)
+    digest = F.sha2(F.concat_ws("\n", F.col("run_id"), F.coalesce("log_id", F.lit(""))), 256)
+    pieces = [F.substring(digest, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return results.withColumn("run_id", run).select(
+        F.concat_ws("-", *pieces).alias("analysis_id"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"),
         *results.columns,
+        "run_id",
     )
 
 
-def write_results(results: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append stamped reports under ``path``, one folder per day."""
-    stamped = stamp(results).withColumn("run_date", F.substring("generated_at", 1, 10))
-    stamped.write.mode("append").partitionBy("run_date").format(fmt).save(path)
+def write_results(results: DataFrame, path: str, fmt: str = "json", run_id: str | None = None) -> None:
+    """Write stamped reports under ``path``, one folder per run.
+
+    A run that is written again, say after it failed half way, replaces its own
+    folder and no other.  A run without reports leaves what is there.
+    """
+    (
+        stamp(results, run_id)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id")
+        .format(fmt)
+        .save(path)
+    )

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import classify, reports, search
+from faultline.operators import classify, lookup, reports, search
 from faultline.operators.groups import error_group_report, error_groups
 from faultline.operators.incidents import build_incidents
 from faultline.operators.ranking import head_with_totals, numbered
@@ -64,7 +64,7 @@ def test_groups_over_many_chunks_match_plain_counting(spark):
     ]
     entries = spark.createDataFrame(
         rows, "log_id string, pos bigint, line_number bigint, level string, message string, source string, time string"
-    )
+    ).withColumn("raw", F.col("message"))
     want = {}
     for _, pos, _, level, message, source, time in rows:
         if level == "INFO":
@@ -119,7 +119,8 @@ def test_incidents_see_every_group(spark):
     groups += [("a", "CRITICAL", "gone", 1, [], None, None, "gone", [900], 900)]
     groups += [("a", "WARNING", "pool low", 3, ["db"], "t0", "t9", "pool low", [901, 902, 903], 901)]
     groups += [("a", "WARNING", f"HikariPool {i}", 4, [f"n{i}"], "", None, f"HikariPool {i}", [5, 5, 910 + i], 910 + i) for i in range(3)]
-    names = "log_id string, level string, message_signature string, count bigint, sources array<string>, first_seen string, last_seen string, sample_message string, sample_line_numbers array<bigint>, first_pos bigint"
+    groups = [(*g, [(n, f"raw {n}", "t", "s") for n in g[8]]) for g in groups]
+    names = "log_id string, level string, message_signature string, count bigint, sources array<string>, first_seen string, last_seen string, sample_message string, sample_line_numbers array<bigint>, first_pos bigint, samples array<struct<line_number:bigint,raw:string,time:string,source:string>>"
     totals = spark.createDataFrame([("a", 100_000, 1200, 15)], "log_id string, total_lines bigint, error_lines bigint, warning_lines bigint")
     table = spark.createDataFrame(groups, names).repartition(4)
     found = build_incidents(table, totals).orderBy("incident_pos").collect()
@@ -127,7 +128,7 @@ def test_incidents_see_every_group(spark):
     pool = found[0]
     assert pool.title == "Database connection pool exhaustion" and pool.affected_sources == ["db", "n0", "n1", "n2"]
     # the groups of four lead the one of three; repeated line numbers count once
-    assert [e.line_number for e in pool.evidence] == [5, 910, 901, 902]
+    assert [(e.line_number, e.raw_text) for e in pool.evidence] == [(n, f"raw {n}") for n in (5, 910, 901, 902)]
     assert (pool.first_seen, pool.last_seen) == ("t0", "t9") and "15 occurrence(s)" in pool.human_explanation
     assert [r.title for r in found if r.severity == "critical"] == ["Repeated criticals: gone"]
     brief = build_incidents(table, totals, BRIEF).collect()
@@ -210,6 +211,34 @@ def test_fabricated_citations_are_dropped(spark):
     assert "could not be reached" in found["b"].incidents[0].human_explanation
 
 
+def test_citations_are_looked_up_without_moving_entries(spark, monkeypatch):
+    logs = make_logs(spark, ("a", None, "".join(f"ERROR x{i}\n" for i in range(50))), ("b", None, "INFO y\nINFO z\n"))
+    entries = text_entries(logs)
+    rows = [("a", 1, [(n, f"w{n}") for n in (1, 50, 51, 7)]), ("b", 1, [(2, "w")]), ("c", 1, [(1, "w")]), ("b", 2, [])]
+    cited = spark.createDataFrame(rows, "log_id string, incident_pos bigint, evidence array<struct<line_number:bigint,why_relevant:string>>")
+    want = {("a", 1): (4, [(1, "ERROR x0"), (50, "ERROR x49"), (7, "ERROR x6")]), ("b", 1): (1, [(2, "INFO z")]), ("c", 1): (1, []), ("b", 2): (0, [])}
+    for room in (lookup.BROADCAST_BYTES, 60):
+        monkeypatch.setattr(reports, "only_wanted", lambda *args, room=room: lookup.only_wanted(*args, broadcast_bytes=room))
+        found = reports.verify_evidence(cited, entries)
+        assert {(r.log_id, r.incident_pos): (r.cited_count, [(e.line_number, e.raw_text) for e in r.evidence]) for r in found.collect()} == want
+    wanted = cited.selectExpr("log_id", "explode(evidence.line_number) line_number")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lookup.only_wanted(entries, wanted, ["log_id", "line_number"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and not any("raw" in line for line in shuffles)
+
+
+def test_structured_evidence_is_the_last_entry_of_its_line(spark):
+    logs = make_logs(spark, ("s", None, "")).drop("text").withColumn("kind", F.lit("structured"))
+    rows = [("s", i, 1, f"ERROR pool {i}", None, "db", "ERROR", f"pool {i}") for i in range(4)]
+    entries = spark.createDataFrame(rows, "log_id string, pos bigint, line_number bigint, raw string, time string, source string, level string, message string")
+    (report,) = analyze_logs(logs, entries).collect()
+    assert [(e.line_number, e.raw_text) for e in report.incidents[0].evidence] == [(1, "ERROR pool 3")]
+
+
 def test_classification_of_texts_and_lines(spark):
     texts = {
         "later pass": ("Marking task as FAILED\nmarking task as success", "PASS", "PASS"),
@@ -266,4 +295,23 @@ def test_results_are_written_by_day(spark, tmp_path):
     sinks.write_results(results, str(tmp_path / "out"))
     row = spark.read.json(str(tmp_path / "out")).first()
     assert row.overall_status == "degraded" and len(row.analysis_id) == 36
-    assert row.generated_at.startswith(str(row.run_date))
+    assert row.generated_at.startswith(str(row.run_id))
+
+
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_a_repeated_run_leaves_the_same_rows(spark, tmp_path, fmt):
+    logs = make_logs(spark, ("a", "FAIL", ""), ("b", None, "ERROR x\n"))
+    results = analyze_logs(logs.drop("text"), text_entries(logs))
+    path = str(tmp_path / "out")
+
+    def ids():
+        rows = spark.read.format(fmt).load(path).select("run_id", "log_id", "analysis_id").collect()
+        return sorted(map(tuple, rows))
+
+    sinks.write_results(results, path, fmt, "run-1")
+    first = ids()
+    sinks.write_results(results, path, fmt, "run-1")
+    assert ids() == first and len(first) == 2
+    sinks.write_results(results.where("log_id = 'a'"), path, fmt, "run-2")
+    assert [r for r in ids() if r[0] == "run-1"] == first and len(ids()) == 3
+    assert len({r[2] for r in ids()}) == 3
