@@ -200,13 +200,30 @@ class Searcher:
         self.latent = np.array(latent, np.float32).reshape(len(latent), self.space.shape[1])
         self.latent /= np.maximum(np.linalg.norm(self.latent, axis=1, keepdims=True), 1e-6)
         self.answers = answers
+        self.needed = ANSWER_SHARE * np.array([len(a) for a in answers])
+        # places of the answer words of each passage, filled up with one that no word has
+        self.answer_places = np.full((len(answers), ANSWER_WORDS), WIDTH, np.int64)
+        for row, words in zip(self.answer_places, answers, strict=True):
+            row[: len(words)] = [_place(w) for w in words]
+        self.present = np.zeros(WIDTH + 1, bool)
         return self
 
+    def answerable(self, places: np.ndarray) -> np.ndarray:
+        """Passages of which the document holds enough answer words anywhere; no others can pass the last check."""
+        self.present[places] = True
+        held = self.present[self.answer_places].sum(axis=1)
+        self.present[places] = False
+        return np.flatnonzero(held >= self.needed)
+
     def candidates(self, places: np.ndarray) -> list[tuple[int, int]]:
         """(passage, first word of a window) whose cosine is high enough."""
         n = len(places)
         if not n or not len(self.passages):
             return []
+        asked = self.answerable(places)
+        if not len(asked):
+            return []
+        latent = self.latent[asked].T
         size = min(WINDOW, n)
         starts = np.arange(0, n - size + 1, STRIDE)
         if starts[-1] != n - size:
@@ -220,8 +237,8 @@ class Searcher:
             some = starts[at : at + 256]
             vectors = self.rows[places[some[:, None] + np.arange(size)]].sum(axis=1)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
-            for w, p in zip(*np.nonzero(vectors @ self.latent.T >= COSINE), strict=True):
-                found.append((int(p), int(some[w])))
+            for w, p in zip(*np.nonzero(vectors @ latent >= COSINE), strict=True):
+                found.append((int(asked[p]), int(some[w])))
         return found
 
     def leaks(self, text: str | None, places: np.ndarray) -> list[tuple[object, float]]:
