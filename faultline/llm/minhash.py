@@ -74,12 +74,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, signature, bands``; the last three are null for empty sets."""
+    """``doc_id, text_hash, n_shingles, digest, signature, bands``; the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, signatures, bands = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingles(text, size)
                 counts.append(len(found))
                 if len(found):
@@ -92,12 +92,24 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
                     signatures.append(None)
                     bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "signature", "bands"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "digest", "signature", "bands"],
             )
 
+    return _texts(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, signature binary, bands array<bigint>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, text``; the hash tells rows apart that share a doc_id."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return plain.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature binary, bands array<bigint>")
+    return plain.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the documents that stand for ``nodes`` (``node, doc_id, text_hash``)."""
+    # the ids grow with the corpus: one plan at every size
+    found = _texts(docs).join(nodes.hint("merge"), ["doc_id", "text_hash"])
+    return found.select("node", "text").dropDuplicates(["node"])
 
 
 def _alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -133,18 +145,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 near.append(100 * common >= PERCENT * (len(left) + len(right) - common))
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab")
+    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab")
     return pairs.join(two, "b").join(one, "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _links(pairs: DataFrame, known: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     near = write_once(_alike(pairs, known), "near-pairs")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = write_once(
-        # the ids grow with the corpus: one plan at every size
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
-        "pair-texts",
-    )
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = known.select("node", "doc_id", "text_hash").join(wanted.hint("merge"), "node", "left_semi")
+    texts = write_once(_node_texts(docs, asked), "pair-texts")
     return write_once(_confirmed(near, texts, size), "links")
 
 
@@ -182,25 +191,35 @@ def _near_members(left: list[tuple], right: list[tuple]) -> Iterator[tuple[int,
             yield left[i][0], right[j][0]
 
 
-def _links_between_blocks(open_rows: DataFrame, sizes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def _links_between_blocks(open_rows: DataFrame, known: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """``a, b``: links between members of one bucket that lie in different components.
 
     ``open_rows`` are ``key, node, component, fullest``.  Nodes are dealt into
     blocks of about ``BLOCK_SHINGLES`` shingles: nodes with the same fullest
-    leader lie together, hashed over as many blocks as their sets need.  Two
-    blocks that meet in a bucket are compared as a whole on the full sets, so
-    no candidate pair is left out, and rows grow with blocks, not with pairs.
+    leader lie together, hashed over as many blocks as their sets need.  A
+    component that fills a block has blocks of its own, which are never compared
+    with each other.  Two blocks that meet in a bucket are compared as a whole
+    on the full sets, so no candidate pair is left out, and rows grow with
+    blocks, not with pairs.  Of buckets in which the same blocks meet, one asks.
     """
-    members = open_rows.groupBy("node").agg(F.min("component").alias("component"), F.max("fullest").alias("fullest")).join(sizes, "node")
-    members = members.select("node", "component", F.col("fullest.node").alias("anchor"), "n_shingles")
-    parts = members.groupBy("anchor").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("parts"))
-    block = F.struct("anchor", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-    members = write_once(members.join(parts, "anchor").select("node", "component", block.alias("block")), "members")
+    members = open_rows.groupBy("node").agg(F.min("component").alias("component"), F.max("fullest").alias("fullest"))
+    members = members.join(known.select("node", "n_shingles"), "node").select("node", "component", F.col("fullest.node").alias("anchor"), "n_shingles")
+    members = write_once(members, "open-members")
+    needed = F.sum("n_shingles") / BLOCK_SHINGLES
+    large = members.groupBy("anchor", "component").agg(F.ceil(needed).alias("own")).where("own > 1")
+    dealt = members.join(large, ["anchor", "component"], "left").withColumn("whole", F.when(F.col("own").isNotNull(), F.col("component")))
+    shared = dealt.where("own IS NULL").groupBy("anchor").agg(F.ceil(needed).alias("parts"))
+    block = F.struct("anchor", "whole", F.pmod(F.xxhash64("node"), F.coalesce("own", "parts")).alias("part"))
+    members = write_once(dealt.join(shared, "anchor", "left").select("node", "component", block.alias("block")), "members")
 
     met = write_once(open_rows.select("key", "node").join(members.select("node", "block"), "node").select("key", "block").distinct(), "met")
-    one, two = (met.select("key", F.col("block").alias(x)) for x in "ab")
+    sums = [F.sum(F.xxhash64("block", F.lit(i)).cast("decimal(38,0)")).alias(f"_{i}") for i in range(2)]
+    alike = met.groupBy("key").agg(F.count("*").alias("_n"), *sums).groupBy("_n", "_0", "_1").agg(F.min("key").alias("key"))
+    asking = met.join(alike.select("key").hint("merge"), "key", "left_semi")
+    one, two = (asking.select("key", F.col("block").alias(x)) for x in "ab")
+    apart = (F.col("one.key") == F.col("two.key")) & (F.col("a") <= F.col("b")) & ~F.coalesce(F.col("a.whole") == F.col("b.whole"), F.lit(False))
     pairs = write_once(
-        one.join(two, "key").where("a <= b").select("a", "b").distinct().withColumn("pair", F.monotonically_increasing_id()), "block-pairs"
+        one.alias("one").join(two.alias("two"), apart).select("a", "b").distinct().withColumn("pair", F.monotonically_increasing_id()), "block-pairs"
     )
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +227,7 @@ def _links_between_blocks(open_rows: DataFrame, sizes: DataFrame, docs: DataFram
             sets = [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "found"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of().alias("text"))
-    texts = texts.join(members.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    texts = _node_texts(docs, known.select("node", "doc_id", "text_hash").join(members.select("node").hint("merge"), "node", "left_semi"))
     sets = write_once(texts.mapInArrow(to_sets, "node bigint, found binary").join(members.hint("merge"), "node"), "member-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,20 +253,27 @@ def _links_between_blocks(open_rows: DataFrame, sizes: DataFrame, docs: DataFram
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, kept``.
+    """Per document: ``doc_id, n_shingles, component_id, kept``; see ``classified``."""
+    return classified(docs, size).drop("text_hash")
+
+
+def classified(docs: DataFrame, size: int = 5) -> DataFrame:
+    """Per document: ``doc_id, text_hash, n_shingles, component_id, kept``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  Empty and null texts have no shingles
     and are linked with nothing.  Equal sets are one node, the smallest doc_id
     for it.  A null doc_id is linked with nothing and kept, its component null.
-    Rows that repeat a doc_id give one row each; which of its texts stands for
-    it in links is open if they differ.  Other columns are ignored.
+    Rows that repeat a doc_id are documents of their own, linked by their own
+    texts.  Other columns are ignored.
     """
     known = write_once(profiles(docs, size), "profiles")
     sets = known.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = write_once(sets.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
+    # one node per set, numbered; its smallest row stands for it
+    least = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    nodes = write_once(least.select("digest", "least.*", F.monotonically_increasing_id().alias("node")), "nodes")
     bands = write_once(
-        sets.join(nodes.hint("merge"), (sets.doc_id == nodes.node) & (sets.digest == nodes.digest), "left_semi")
-        .select(F.col("doc_id").alias("node"), "n_shingles", "signature", "bands")
+        sets.join(nodes.hint("merge"), ["digest", "doc_id", "text_hash"])
+        .select("node", "doc_id", "text_hash", "n_shingles", "signature", "bands")
         .dropDuplicates(["node"]),
         "bands",
     )
@@ -289,7 +314,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
         placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "mixed"
     )
     open_rows = write_once(placed.join(mixed, "key", "left_semi").join(leaders.select("key", "fullest"), "key"), "open-rows")
-    more = _links_between_blocks(open_rows, bands.select("node", "n_shingles"), docs, size)
+    more = _links_between_blocks(open_rows, bands, docs, size)
     # the late links join whole components, so only these are merged
     ends = joined.select("node", "component")
     late = (
@@ -300,15 +325,19 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     merged = write_once(components(late).toDF("component", "whole"), "merged")
     final = (
         nodes.join(joined, "node", "left")
-        .select("digest", F.coalesce("component", "node").alias("component"))
+        .select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
         .join(merged, "component", "left")
+        .select("digest", "doc_id", F.coalesce("whole", "component").alias("class"))
     )
-    classes = write_once(final.select("digest", F.coalesce("whole", "component").alias("component")), "classes")
+    final = write_once(final, "classes")
+    names = final.groupBy("class").agg(F.min("doc_id").alias("component"))
+    classes = write_once(final.join(names, "class").select("digest", "component"), "named-classes")
     return (
-        known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+        known.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
         .join(classes, "digest", "left")
         .select(
             "doc_id",
+            "text_hash",
             "n_shingles",
             F.coalesce("component", "doc_id").alias("component_id"),
             (F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
@@ -321,9 +350,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
     Documents that are linked with nothing stay, those without an id or text too.
     """
-    name = free_name(docs.columns, "gone")
-    gone = near_duplicates(docs, size).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("bigint") == F.col(name), "left_anti").select(*docs.columns)
+    name, text = free_name(docs.columns, "gone"), free_name(docs.columns, "gone_text")
+    gone = classified(docs, size).where("NOT kept").select(F.col("doc_id").alias(name), F.col("text_hash").alias(text)).distinct()
+    same = (F.col("doc_id").cast("bigint") == F.col(name)) & (F.xxhash64(text_of()) == F.col(text))
+    return docs.join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""
