@@ -8,8 +8,8 @@ store that Spark writes to will do.
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,9 +28,9 @@ RECORD = (
 )
 
 
-def _uri(kind: str, page: Column, digest: Column) -> Column:
-    """A record id by page and payload; repeated rows of a page are one capture."""
-    hexes = F.md5(F.concat_ws("/", F.lit(kind), F.coalesce(page.cast("string"), F.lit("")), digest))
+def _uri(kind: str, serial: Column, digest: Column) -> Column:
+    """A record id by row and payload."""
+    hexes = F.md5(F.concat_ws("/", F.lit(kind), serial.cast("string"), digest))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(hexes, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -45,21 +45,25 @@ def _record(fields: dict[str, Column | str | None], block: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, digest, first_page``: of equal payloads of enough bytes the smallest page_id.
+    """``page_id, url, html, digest, serial, first``: every row, numbered, and who has its payload first.
 
-    ``first_page`` is null for payloads below ``REVISIT_FROM``.
+    ``first`` is the smallest page_id of the rows with an equal payload and the
+    number of such a row; null for payloads that no other row has or that have
+    fewer than ``REVISIT_FROM`` bytes.
     """
-    own = pages.select(
-        "page_id",
-        F.col("url").cast("string").alias("url"),
-        F.coalesce("html", F.lit("")).alias("html"),
-    ).withColumn("digest", F.sha2("html", 256))
+    own = write_once(
+        pages.select(
+            "page_id",
+            F.col("url").cast("string").alias("url"),
+            F.coalesce("html", F.lit("")).alias("html"),
+            F.monotonically_increasing_id().alias("serial"),
+        ).withColumn("digest", F.sha2("html", 256)),
+        "pages",
+    )
     firsts = write_once(
-        own.where(F.octet_length("html") >= REVISIT_FROM)
+        own.where((F.octet_length("html") >= REVISIT_FROM) & F.col("page_id").isNotNull())
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("pages"))
-        .where("pages > 1")
-        .drop("pages"),
+        .agg(F.min(F.struct("page_id", "serial")).alias("first")),
         "payloads",
     )
     return own.join(firsts, "digest", "left")
@@ -70,14 +74,15 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
     Null html is an empty payload, a null url gives no target.  White space in
     a url is written percent-encoded.  A page_id that is null is never a first
-    page; rows that repeat page_id and payload are one capture.
+    page.  Every row is a capture of its own, repeated ones too; of rows with
+    equal payloads all those with the smallest page_id are responses.
     """
     url = F.col("url")
     for char in (" ", "\r", "\n", "\t"):
         url = F.replace(url, F.lit(char), F.lit(f"%{ord(char):02X}"))
-    page, digest = F.col("page_id"), F.col("digest")
-    revisit = F.coalesce(page != F.col("first_page"), F.col("first_page").isNotNull())
-    own_id = _uri("response", page, digest)
+    page, digest, serial = F.col("page_id"), F.col("digest"), F.col("serial")
+    revisit = F.coalesce(page != F.col("first.page_id"), F.col("first").isNotNull())
+    own_id = _uri("response", serial, digest)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html"), F.lit(_END))
     target = F.when(url.isNotNull(), F.concat(F.lit("WARC-Target-URI: "), url))
     common = lambda kind: {"WARC-Type": kind, "WARC-Date": DATE}
@@ -86,7 +91,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         fields = common(kind) | {"WARC-Record-ID": own, "Content-Type": content} | {k.replace("_", "-"): v for k, v in more.items()}
         return _record(fields, block)
 
-    first_id = _uri("response", F.col("first_page"), digest)
+    first_id = _uri("response", F.col("first.serial"), digest)
     extra = F.concat_ws(
         "\r\n",
         F.concat(F.lit("sha256:"), digest),
@@ -99,16 +104,33 @@ def write_warc(pages: DataFrame, path: str) -> None:
         F.when(revisit, http).otherwise(F.concat(http, F.col("html"))), WARC_Payload_Digest=extra,
     )
     asked = F.concat(F.lit("GET "), F.coalesce(url, F.lit("/")), F.lit(" HTTP/1.1" + _END))
-    request = record("request", _uri("request", page, digest), "application/http; msgtype=request", asked, WARC_Concurrent_To=own_id)
+    request = record("request", _uri("request", serial, digest), "application/http; msgtype=request", asked, WARC_Concurrent_To=own_id)
     facts = F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\n"))
-    metadata = record("metadata", _uri("metadata", page, digest), "application/warc-fields", facts, WARC_Concurrent_To=own_id)
+    metadata = record("metadata", _uri("metadata", serial, digest), "application/warc-fields", facts, WARC_Concurrent_To=own_id)
     records = captures(pages).select(F.explode(F.array(request, main, metadata)).alias("value"))
     records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def _unpacked(data: bytes) -> bytes:
+    """The bytes of all gzip members, as far as they can be read."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse_records(data: bytes) -> Iterator[dict]:
-    """Records of one archive, gzip or plain.  A record that is cut off ends the file."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    """Records of one archive, gzip or plain.
+
+    A record that is cut off, or whose length cannot be read, ends the file and
+    is not given; so does damage of the compression.
+    """
+    stream = io.BytesIO(_unpacked(data) if data[:2] == b"\x1f\x8b" else data)
     while True:
         line = stream.readline()
         if not line:
@@ -119,7 +141,10 @@ def parse_records(data: bytes) -> Iterator[dict]:
         while (line := stream.readline().rstrip(b"\r\n")):
             name, _, value = line.partition(b":")
             headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-        block = stream.read(int(headers.get("content-length", "0")))
+        length = headers.get("content-length", "0")
+        block = stream.read(int(length)) if length.isascii() and length.isdigit() else None
+        if block is None or len(block) < int(length):
+            return
         http: dict[str, str] = {}
         payload = block
         if headers.get("content-type", "").startswith("application/http"):
@@ -169,7 +194,7 @@ def assemble(records: DataFrame) -> DataFrame:
     The parts of a capture meet in one combining aggregate, so no join input is sorted twice.
     """
     main = F.col("type").isin("response", "revisit")
-    part = F.struct(*[F.col(f"`{c}`") for c in records.columns if c not in ("headers", "http_headers")])
+    part = F.struct(*[F.col(f"`{c}`") for c in records.columns])
 
     def pick(kind: Column) -> Column:
         return F.min_by(part, F.when(kind, F.col("record_id")))
@@ -217,8 +242,11 @@ def archive_pages(pages: DataFrame) -> DataFrame:
         ),
         "captures",
     )
+    shown = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     firsts = whole.select(F.col("capture_id").alias("_refers"), F.col("page_id").alias("refers_to"))
-    return whole.join(firsts, "_refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    again = whole.where("_refers IS NOT NULL").join(firsts, "_refers", "left").select(shown)
+    rest = whole.where("_refers IS NULL").withColumn("refers_to", F.lit(None).cast(dict(firsts.dtypes)["refers_to"]))
+    return rest.select(shown).unionByName(again)
 
 
 ORACLE = f"""
