@@ -14,7 +14,7 @@ from itertools import pairwise
 
 import ahocorasick
 
-MEMO_PAIRS = 400_000
+MEMO_PAIRS = 200_000
 
 
 class LongestMatches:

@@ -24,7 +24,8 @@ from faultline.llm.backtracking import LongestMatches
 from faultline.llm.common import free_name, text_of
 from faultline.llm.recent import Recent
 
-MEMO_PIECES = 400_000
+MEMO_PIECES = 200_000
+SOME_ROWS = 500  # of a batch that are coded at a time
 PIECE_CHARS = 48  # longer pre-tokens are rare and are not kept
 
 
@@ -112,7 +113,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _worker(path, pattern)
-        for batch in batches:
+        for batch in (b.slice(at, SOME_ROWS) for b in batches for at in range(0, b.num_rows, SOME_ROWS)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             coded = pairs.encode_texts(texts)
             for text, ids in zip(texts, coded, strict=True):

@@ -35,7 +35,7 @@ COMMON = 0.6  # share of a passage's words in the common subsequence
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 LEAST_WORDS = 8  # shorter passages are asked for in full
 ITEMS_AT_ONCE = 20_000  # passages that one scan is sent; more take more scans
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 _EDGES = ".,;:!?\"'()[]{}*#$%&-"
 
 

@@ -34,7 +34,7 @@ REJECT_AT = 0.15  # probability of any grade above 0
 
 EDGES = ".,;:!?\"'()[]{}*#$%&-"
 PREFIXES = (4,)  # characters of a word's start that are features beside the word
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _HASH_BITS = 20
 
 
