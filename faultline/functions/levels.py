@@ -54,7 +54,7 @@ SEVERE_EVENTS = (
     "segmentation fault", "segfault", "read-only file system", "i/o error",
 )
 CONTINUATION = (
-    r"(?i)^(?:\s+\S|Traceback \(most recent call last\)|Caused by:|\w[\w.]*(?:Error|Exception)\b)"
+    r"(?i)^\s+\S|^Traceback \(most recent call last\)|^Caused by:|^\w[\w.]*(?:Error|Exception)\b"
 )
 
 # ---- end of fixed values ----
