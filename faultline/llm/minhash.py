@@ -27,6 +27,7 @@ from faultline.session import write_once
 BANDS, ROWS = 32, 4
 PERCENT = 80
 BLOCK_SHINGLES = 1 << 16  # of a block of documents that are compared together
+GUEST_BLOCKS = 4
 BLOCK_COLUMNS = 1 << 12  # shingles of two blocks that are compared at once
 SURE_BELOW = 78  # of 128 equal minima: at similarity 0.8 fewer have a probability of about 2e-7
 U = np.uint64
@@ -201,6 +202,9 @@ def _links_between_blocks(open_rows: DataFrame, known: DataFrame, docs: DataFram
     with each other.  Two blocks that meet in a bucket are compared as a whole
     on the full sets, so no candidate pair is left out, and rows grow with
     blocks, not with pairs.  Of buckets in which the same blocks meet, one asks.
+    The larger block of a pair is the host; its guests come to it in parts of
+    about ``GUEST_BLOCKS`` blocks, so a large block is not copied for each small
+    one that it meets.
     """
     members = open_rows.groupBy("node").agg(F.min("component").alias("component"), F.max("fullest").alias("fullest"))
     members = members.join(known.select("node", "n_shingles"), "node").select("node", "component", F.col("fullest.node").alias("anchor"), "n_shingles")
@@ -210,7 +214,7 @@ def _links_between_blocks(open_rows: DataFrame, known: DataFrame, docs: DataFram
     dealt = members.join(large, ["anchor", "component"], "left").withColumn("whole", F.when(F.col("own").isNotNull(), F.col("component")))
     shared = dealt.where("own IS NULL").groupBy("anchor").agg(F.ceil(needed).alias("parts"))
     block = F.struct("anchor", "whole", F.pmod(F.xxhash64("node"), F.coalesce("own", "parts")).alias("part"))
-    members = write_once(dealt.join(shared, "anchor", "left").select("node", "component", block.alias("block")), "members")
+    members = write_once(dealt.join(shared, "anchor", "left").select("node", "component", "n_shingles", block.alias("block")), "members")
 
     met = write_once(open_rows.select("key", "node").join(members.select("node", "block"), "node").select("key", "block").distinct(), "met")
     sums = [F.sum(F.xxhash64("block", F.lit(i)).cast("decimal(38,0)")).alias(f"_{i}") for i in range(2)]
@@ -218,9 +222,18 @@ def _links_between_blocks(open_rows: DataFrame, known: DataFrame, docs: DataFram
     asking = met.join(alike.select("key").hint("merge"), "key", "left_semi")
     one, two = (asking.select("key", F.col("block").alias(x)) for x in "ab")
     apart = (F.col("one.key") == F.col("two.key")) & (F.col("a") <= F.col("b")) & ~F.coalesce(F.col("a.whole") == F.col("b.whole"), F.lit(False))
-    pairs = write_once(
-        one.alias("one").join(two.alias("two"), apart).select("a", "b").distinct().withColumn("pair", F.monotonically_increasing_id()), "block-pairs"
-    )
+    pairs = one.alias("one").join(two.alias("two"), apart).select("a", "b").distinct()
+    weights = members.groupBy("block").agg(F.sum("n_shingles").alias("weight"))
+    for side in "ab":
+        pairs = pairs.join(weights.select(F.col("block").alias(side), F.struct("weight", "block").alias(f"w_{side}")), side)
+    pairs = write_once(pairs.select(F.greatest("w_a", "w_b").alias("host"), F.least("w_a", "w_b").alias("guest")), "block-pairs")
+    met_others = F.col("host.block") != F.col("guest.block")
+    parts = pairs.where(met_others).groupBy("host").agg(F.ceil(F.sum("guest.weight") / (GUEST_BLOCKS * BLOCK_SHINGLES)).alias("parts"))
+    part = F.when(met_others, F.pmod(F.xxhash64("guest"), F.col("parts"))).otherwise(-1)
+    visits = pairs.join(parts, "host", "left").select(F.struct(F.col("host.block").alias("block"), part.alias("part")).alias("task"), "host", "guest")
+    hosts = visits.select("task", F.lit(0).alias("side"), F.col("host.block").alias("block")).distinct()
+    guests = visits.where(met_others).select("task", F.lit(1).alias("side"), F.col("guest.block").alias("block"))
+    dealt = write_once(hosts.unionByName(guests), "visits")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,16 +252,16 @@ def _links_between_blocks(open_rows: DataFrame, known: DataFrame, docs: DataFram
             return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for pair, side, node, component, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if pair != last:
+            for task, side, node, component, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if task != last:
                     yield links()
-                    last, sides = pair, ([], [])
+                    last, sides = task, ([], [])
                 sides[side].append((node, component, np.frombuffer(found, U)))
         yield links()
 
-    dealt = pairs.select("pair", F.posexplode(F.array_distinct(F.array("a", "b"))).alias("side", "block"))
-    rows = dealt.join(sets, "block").select("pair", "side", "node", "component", "found")
-    compared = rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a bigint, b bigint")
+    rows = dealt.join(sets.drop("n_shingles"), "block").select("task", "side", "node", "component", "found")
+    # a task without guests compares its host with itself
+    compared = rows.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a bigint, b bigint")
     return write_once(compared.distinct(), "more-links")
 
 
