@@ -211,6 +211,9 @@ _TAILS = [
     f"{_NL} || 'operation timed out; unauthorized' || {_NL} || 'Marking task as SUCCESS'",
     f"{_NL} || 'ImportError: no pkg' || {_NL} || 'Task exited with return code 1'",
     f"{_NL} || 'process ended, exit code 3'",
+    f"{_NL} || 'relation ' || chr(34) || 'dim_' || {_NL} || {_NL} || doc_id || chr(34) || ' does not exist' || {_NL} || 'Task failed with exception'",
+    f"{_NL} || 'connection to server at db' || chr(11) || chr(13) || doc_id || ' failed' || {_NL}",
+    f"{_NL} || 'connection to server at db' || {_NL} || ' failed; relation ' || chr(34) || 'a' || {_NL} || chr(34) || 'b' || chr(34) || ' does not exist'",
 ]
 DOC_LOG_COLUMNS = [
     "'doc-' || doc_id as log_id", "doc_id", f"text || {_case('doc_id', _TAILS)} as text"

@@ -665,6 +665,7 @@ ORACLES: dict[str, str] = {
         + "where (r.place is null or r.place = 0) and (r.log_id like 'user-%' or r.title <> 'Analysis could not be completed' or r.title is null))",
         "select l.log_id, l.status as parser_status, l.log_id like 'user-%' as analysed, c.* exclude (log_id) from logs l left join cards c using (log_id)",
     ),
+    "fallback_count": _with(LOGS, "select count(*) as files, count(*) filter (log_id like 'empty-%') as failed from logs"),
     "verify_evidence": _with(
         CHECKED,
         "select log_id, incident_pos, cited_count, evidence_lines, evidence_text, evidence_times, evidence_sources, evidence_reasons from proven",
@@ -695,6 +696,8 @@ ORACLES: dict[str, str] = {
     "last_marker": _with(SCANNED, "select log_id, pass_pos, fail_pos from scanned"),
     "first_category": _with(SCANNED, "select log_id, coalesce(cat, case when fail_pos >= 0 then 'FAILURE_GENERIC' else 'UNKNOWN' end) as category from scanned"),
     "classify_log": _with(VERDICTS, "select * from verdicts"),
+    # a document without any line has no row
+    "classify_document_lines": _with(VERDICTS, f"select v.* from verdicts v join doc_logs d using (log_id) where regexp_replace(d.text, '{S}', '', 'g') <> ''"),
     "audit_classification": _with(AUDIT, "select * from audit"),
     "audit_failures": _with(AUDIT, "select count(*) as logs, count(*) filter (not ok) as failures from audit"),
     "triage_class": _with(

@@ -530,13 +530,20 @@ def report_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_cards(K.report_cards(analysis(spark, sf_dir)))
 
 
+def fallback_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs, entries = event_logs(spark, sf_dir), loud_entries(spark, sf_dir)
+    spare = R.verdict_only_report(logs.join(ST.log_stats(logs, entries), "log_id"))
+    cards = K.report_cards(analyze_logs(logs, entries)).where("stats.total_lines > 0")
+    return K.cards_with_fallback(logs, cards, K.report_cards(spare))
+
+
 def cards_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every labelled log: its analysis if it has lines, else its verdict."""
-    logs = event_logs(spark, sf_dir)
-    stats = ST.log_stats(logs, loud_entries(spark, sf_dir))
-    spare = R.verdict_only_report(logs.join(stats, "log_id"))
-    cards = K.report_cards(analysis(spark, sf_dir)).where("stats.total_lines > 0")
-    return flat_cards(K.cards_with_fallback(logs, cards, K.report_cards(spare)))
+    return flat_cards(fallback_cards(spark, sf_dir))
+
+
+def fallback_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.fallback_count(fallback_cards(spark, sf_dir))
 
 
 def last_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -555,6 +562,11 @@ def classify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.classify_lines(C.event_lines(spark, sf_dir))
 
 
+def classify_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as lines: the same verdicts as ``classify_log``, also where a pattern spans lines."""
+    return CL.classify_lines(raw_logs.split_lines(C.doc_logs(spark, sf_dir), segments=True))
+
+
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.audit_classification(
         C.expected_labels(spark, sf_dir), CL.classify_log(C.doc_logs(spark, sf_dir))
@@ -653,10 +665,12 @@ QUERIES: dict[str, Query] = {
     "assemble_result": assemble_result,
     "report_cards": report_cards,
     "cards_with_fallback": cards_with_fallback,
+    "fallback_count": fallback_count,
     "last_marker": last_marker,
     "first_category": first_category,
     "classify_log": classify_log,
     "classify_lines": classify_lines,
+    "classify_document_lines": classify_document_lines,
     "audit_classification": audit,
     "audit_failures": audit_failures,
     "error_onset": error_onset,

@@ -83,6 +83,11 @@ def replace(text: Column, pattern: str, value: str) -> Column:
     ).otherwise(F.regexp_replace(text, unicode_regex(pattern), value))
 
 
+def folded(text: Column) -> Column:
+    """Lower case; the four other letters that match ASCII ones in any case are spelled as those."""
+    return F.lower(F.translate(text, "ſıİK", "siik"))
+
+
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
     """Whether a phrase occurs in any letter case."""
     low = F.lower(text)

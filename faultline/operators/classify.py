@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.regex import extract, matches
-
+from faultline.functions.regex import extract, folded, matches
+from faultline.operators.trace import CHUNK_LINES
 
 # ---- fixed values: end-of-run markers and category patterns, in order ----
 
@@ -36,6 +36,12 @@ UNKNOWN = "UNKNOWN"
 
 # ---- end of fixed values ----
 
+# The two patterns that a line break can fall into, taken apart there: a quoted name may hold
+# any break, a server's name any but a line feed.
+_NAME_OPENS, _NAME_CLOSES = r'(?i)relation "[^"]*$', r'(?i)^[^"]*" does not exist'
+_SERVER_OPENS, _SERVER_CLOSES = "connection to server ", " failed"
+_RANKS = {name: number for number, (name, _) in enumerate(CATEGORIES, start=1)}
+
 
 def _any_of(text: Column, patterns: Sequence[str]) -> Column:
     return matches(text, "(?i)" + "|".join(patterns))
@@ -95,11 +101,57 @@ def classify_log(logs: DataFrame) -> DataFrame:
     return marked.withColumns(_verdict(passed, category)).drop("text")
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
-    """Verdicts from ``(log_id, pos, raw)``, for logs of any size.
+def _names_across_lines(lines: DataFrame, chunk_lines: int) -> DataFrame:
+    """``log_id, rank`` of logs in which a quoted name begins in one line and ends in a later one.
 
-    Equal to ``classify_log`` except that a pattern cannot span two lines.
-    Every line is reduced to numbers, and those are aggregated per log.
+    Of the lines that hold a quote, the one before must leave a name open.
+    Only their positions move, and a chunk of a log needs one number from the
+    chunks before it.
+    """
+    raw = F.col("raw")
+    quoted = lines.where(raw.contains('"')).select(
+        "log_id",
+        "pos",
+        F.expr(f"floor(pos / {chunk_lines})").alias("chunk"),
+        (F.col("pos") * 2 + matches(raw, _NAME_OPENS).cast("bigint")).alias("opens"),
+        matches(raw, _NAME_CLOSES).alias("closes"),
+    )
+    earlier = Window.partitionBy("log_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        quoted.groupBy("log_id", "chunk")
+        .agg(F.max("opens").alias("last"))
+        .select("log_id", "chunk", F.max("last").over(earlier).alias("carried"))
+    )
+    above = Window.partitionBy("log_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        quoted.withColumn("above", F.max("opens").over(above))
+        .join(carried, ["log_id", "chunk"])
+        .where(F.col("closes") & (F.coalesce("above", "carried") % 2 == 1))
+        .select("log_id", F.lit(_RANKS["SQL_SCHEMA_ERROR"]).alias("rank"))
+    )
+
+
+def _servers_across_lines(lines: DataFrame) -> DataFrame:
+    """``log_id, rank`` of logs in which a failed connection is broken within a segment."""
+    low = folded(F.col("raw"))
+    return (
+        lines.groupBy("log_id", "segment")
+        .agg(
+            F.min(F.when(low.contains(_SERVER_OPENS), F.col("pos"))).alias("opens"),
+            F.max(F.when(low.contains(_SERVER_CLOSES), F.col("pos"))).alias("closes"),
+        )
+        .where("opens < closes")
+        .select("log_id", F.lit(_RANKS["DB_CONNECTION_ERROR"]).alias("rank"))
+    )
+
+
+def classify_lines(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Verdicts from ``(log_id, pos, raw)``, for logs of any size; equal to ``classify_log``.
+
+    Every line is reduced to numbers, and those are aggregated per log.  Where
+    a pattern spans lines, its two ends are found apart.  Lines are taken to be
+    parted by line feeds unless a column ``segment`` tells which are not
+    (``split_lines``).
     """
     raw = F.col("raw")
     markers = lines.select(
@@ -117,10 +169,19 @@ def classify_lines(lines: DataFrame) -> DataFrame:
             F.col(at) >= 0, F.col("pos") * 2 + (F.col(at) > F.col(other)).cast("bigint")
         )
 
-    per_log = markers.groupBy("log_id").agg(
-        F.min("rank").alias("rank"),
-        F.max(place("pass_at", "fail_at")).alias("passed"),
-        F.max(place("fail_at", "pass_at")).alias("failed"),
+    spanning = _names_across_lines(lines, chunk_lines)
+    if "segment" in lines.columns:
+        spanning = spanning.unionByName(_servers_across_lines(lines))
+    across = spanning.groupBy("log_id").agg(F.min("rank").alias("across"))
+    per_log = (
+        markers.groupBy("log_id")
+        .agg(
+            F.min("rank").alias("rank"),
+            F.max(place("pass_at", "fail_at")).alias("passed"),
+            F.max(place("fail_at", "pass_at")).alias("failed"),
+        )
+        .join(across, "log_id", "left")
+        .withColumn("rank", F.least("rank", "across"))
     )
     passed = F.col("passed").isNotNull() & (
         F.col("failed").isNull() | (F.col("passed") > F.col("failed"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.literals import GRAM_CHARS, required_grams
+from faultline.functions.regex import folded
 from faultline.functions.text import trim_excerpt
 from faultline.operators.search import SHOWN, ranked_hits
 from faultline.session import write_once
@@ -61,11 +62,6 @@ def pattern_problems(patterns: DataFrame) -> DataFrame:
     return bad.select(F.col("_p_log").alias("log_id"), "pattern", F.col("problem").alias("error"))
 
 
-def _folded(text: Column) -> Column:
-    """Lower case, with the four letters that match ASCII ones in any-case search spelled as those."""
-    return F.lower(F.translate(text, "ſıİK", "siik"))
-
-
 def _bucket(gram: Column) -> Column:
     return F.pmod(F.hash(gram), F.lit(_BUCKETS))
 
@@ -90,7 +86,7 @@ def _held_grams(raw: Column, wanted: Column) -> tuple[Column, Column]:
         word = F.get(wanted, F.floor(bucket / 64).cast("int"))
         return F.call_function("shiftright", word, F.pmod(bucket, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    letters = F.split(_folded(raw), "")
+    letters = F.split(folded(raw), "")
     grams = F.transform(letters, lambda c, i: F.concat(c, *(F.get(F.col("_letters"), i + k) for k in range(1, GRAM_CHARS))))
     held = F.array_append(F.array_distinct(grams), ANY_LINE)
     return letters, F.filter(held, lambda g: g.isNotNull() & asked_for(g))

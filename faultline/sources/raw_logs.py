@@ -14,17 +14,26 @@ from faultline.session import BROADCAST_BYTES, fits_broadcast, write_once
 MAX_FILE_GROUPS = 64
 
 
-def split_lines(logs: DataFrame) -> DataFrame:
-    """``(log_id, text)`` to numbered lines; blank lines are dropped but counted."""
-    return (
-        logs.select("log_id", F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "raw"))
-        .where(strip(F.col("raw")) != "")
-        .select(
-            "log_id",
-            F.col("pos").cast("bigint").alias("pos"),
-            (F.col("pos") + 1).cast("bigint").alias("line_number"),
-            "raw",
+def split_lines(logs: DataFrame, segments: bool = False) -> DataFrame:
+    """``(log_id, text)`` to numbered lines; blank lines are dropped but counted.
+
+    With ``segments``, lines that no line feed parts share a ``segment``: they
+    were broken by a rarer character.
+    """
+    if segments:
+        outer = F.transform(
+            F.split("text", "\r\n|\n"),
+            lambda part, i: F.transform(F.split(part, LINE_BREAK), lambda raw: F.struct(i.alias("segment"), raw.alias("raw"))),
         )
+        lines = logs.select("log_id", F.posexplode(F.flatten(outer)).alias("pos", "line")).select("log_id", "pos", "line.*")
+    else:
+        lines = logs.select("log_id", F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "raw"))
+    return lines.where(strip(F.col("raw")) != "").select(
+        "log_id",
+        F.col("pos").cast("bigint").alias("pos"),
+        (F.col("pos") + 1).cast("bigint").alias("line_number"),
+        "raw",
+        *(["segment"] if segments else []),
     )
 
 

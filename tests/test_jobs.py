@@ -255,6 +255,20 @@ def test_classification_of_texts_and_lines(spark):
         assert {r.log_id: (r.status, r.category) for r in verdicts.collect()} == want
 
 
+@pytest.mark.parametrize("chunk_lines", [1, 3, 1000])
+def test_patterns_across_lines_are_seen(spark, chunk_lines):
+    rng = random.Random(6)
+    parts = ['relation "', 'Relation "a', '"', '" does not exist', 'b" DOES not exist', '"" ', "connection to server ", "CONNECTION to server x", " failed", "Task failed with exception", "x", " "]
+    breaks = ["\n", "\r\n", "\r", "\x0b", "\u2028", "\n\n", "\r\r\n", "", " "]
+    texts = ["y" + "".join(rng.choice(parts) + rng.choice(breaks) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    logs = spark.createDataFrame(list(enumerate(texts)), "log_id string, text string")
+    want = {r.log_id: (r.status, r.category) for r in classify.classify_log(logs).collect()}
+    got = {r.log_id: (r.status, r.category) for r in classify.classify_lines(raw_logs.split_lines(logs, segments=True), chunk_lines).collect()}
+    assert got == want
+    plain = raw_logs.split_lines(logs)
+    assert raw_logs.split_lines(logs, segments=True).drop("segment").exceptAll(plain).count() == 0 == plain.exceptAll(raw_logs.split_lines(logs, segments=True).drop("segment")).count()
+
+
 def test_large_files_are_numbered_across_splits(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
