@@ -459,7 +459,7 @@ def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "results")
     results = analysis(spark, sf_dir)
     sinks.write_results(results, path)
-    return flat_results(spark.read.schema(results.schema).json(path))
+    return flat_results(sinks.read_results(spark, path).where("problem IS NULL"))
 
 
 def summary_line(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,17 +172,18 @@ def _read_incident(inc: Column) -> Column:
 def validate_report(extracted: DataFrame) -> DataFrame:
     """Add ``problem`` (null if valid), ``overall_status`` and typed ``incidents``.
 
-    One bad incident fails the report.  Missing incidents are an empty list, a
-    missing status is inconclusive.
+    One bad incident fails the report.  Missing incidents, an empty object or an
+    empty string are an empty list, a missing status is inconclusive.
     """
     report = F.col("report")
     status = V.child(report, "overall_status")
     incidents = V.child(report, "incidents")
     listed = V.items(incidents)
+    nothing = V.is_kind(incidents, "OBJECT", "STRING") & V.string(incidents).isin("{}", "")
     bad_incidents = F.array_compact(F.transform(listed, _incident_problem))
     problem = (
         F.when(~V.is_kind(report, "OBJECT"), "no JSON object found")
-        .when(V.kind(incidents).isNotNull() & ~V.is_kind(incidents, "ARRAY"), "incidents")
+        .when(V.kind(incidents).isNotNull() & ~V.is_kind(incidents, "ARRAY") & ~nothing, "incidents")
         .when(F.size(bad_incidents) > 0, F.get(bad_incidents, 0))
         .when(
             V.kind(status).isNotNull()

@@ -60,6 +60,23 @@ INCIDENT = T.StructType(
     ]
 )
 
+# A published report: what is written, and what is read back.
+REPORT = T.StructType(
+    [
+        T.StructField("analysis_id", T.StringType()),
+        T.StructField("generated_at", T.StringType()),
+        T.StructField("log_id", T.StringType()),
+        T.StructField("log_source", T.StringType()),
+        T.StructField("overall_status", T.StringType()),
+        T.StructField(
+            "stats",
+            T.StructType([T.StructField(n, T.LongType()) for n in ("total_lines", "error_lines", "warning_lines")]),
+        ),
+        T.StructField("incidents", T.ArrayType(INCIDENT)),
+        T.StructField("run_id", T.StringType()),
+    ]
+)
+
 INCIDENT_FIELDS = INCIDENT.fieldNames()
 ENTRY_FIELDS = ENTRIES.fieldNames()
 

@@ -1,10 +1,12 @@
-"""Writing reports."""
+"""Writing reports, and reading them back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.schemas import MAX_SOLUTIONS, REPORT, SEVERITIES, STATUSES
+
 
 def stamp(results: DataFrame, run_id: str | None = None) -> DataFrame:
     """Add the report's own id, its run and the time.
@@ -27,13 +29,56 @@ def write_results(results: DataFrame, path: str, fmt: str = "json", run_id: str
     """Write stamped reports under ``path``, one folder per run.
 
     A run that is written again, say after it failed half way, replaces its own
-    folder and no other.  A run without reports leaves what is there.
+    folder and no other.  A run without reports leaves what is there.  Reports
+    that are not of the declared type are refused.
     """
     (
         stamp(results, run_id)
+        .to(REPORT)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
         .format(fmt)
         .save(path)
     )
+
+
+def _incident_problem(incident: Column) -> Column:
+    """First field of a published incident that breaks its rules, or null."""
+    rules = {
+        "title": incident["title"].isNotNull(),
+        "severity": incident["severity"].isin(*SEVERITIES),
+        "confidence": incident["confidence"].between(0.0, 1.0),
+        "human_explanation": incident["human_explanation"].isNotNull(),
+        "possible_solutions": F.size(incident["possible_solutions"]).between(1, MAX_SOLUTIONS),
+        "evidence": F.forall(
+            incident["evidence"],
+            lambda e: e["line_number"].isNotNull() & e["raw_text"].isNotNull() & e["why_relevant"].isNotNull(),
+        ),
+        "affected_sources": incident["affected_sources"].isNotNull(),
+    }
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
+
+
+def report_problem() -> Column:
+    """First field of a published report that breaks its rules, or null."""
+    bad = F.array_compact(F.transform("incidents", _incident_problem))
+    rules = {
+        "analysis_id": F.col("analysis_id").isNotNull(),
+        "generated_at": F.col("generated_at").isNotNull(),
+        "log_source": F.col("log_source").isNotNull(),
+        "overall_status": F.col("overall_status").isin(*STATUSES),
+        "stats": (F.col("stats.total_lines") >= 0) & (F.col("stats.error_lines") >= 0) & (F.col("stats.warning_lines") >= 0),
+        "incidents": F.col("incidents").isNotNull(),
+    }
+    found = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
+    return F.coalesce(*found, F.get(bad, F.lit(0)))
+
+
+def read_results(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Reports below ``path`` in the declared type, with ``problem``: the field that breaks its rules, or null.
+
+    Text that is no such report gives a row whose fields are null, so it is
+    seen and not lost.
+    """
+    return spark.read.schema(REPORT).format(fmt).load(path).withColumn("problem", report_problem())

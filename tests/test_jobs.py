@@ -185,12 +185,15 @@ def problems(spark):
     }
     cases["bad: evidence why"]["evidence"][0].pop("why_relevant")
     rows = [(name, 1, json.dumps({"overall_status": "degraded", "incidents": [case]})) for name, case in cases.items()]
+    for name, value in {"empty object": {}, "empty text": "", "bad: incidents text": "x", "bad: incidents null": None, "bad: incidents object": {"a": 1}}.items():
+        rows.append((name, 1, json.dumps({"overall_status": "degraded", "incidents": value})))
     df = spark.createDataFrame(rows, "log_id string, attempt bigint, content string")
     checked = reports.validate_report(reports.extract_report_json(df)).collect()
     return {r.log_id: r.problem for r in checked}
 
 
 def test_report_rules(problems):
+    assert problems["empty object"] is None and problems["empty text"] is None
     for name, problem in problems.items():
         if name.startswith("bad: "):
             assert problem == name.split()[1], name
@@ -255,6 +258,38 @@ def test_classification_of_texts_and_lines(spark):
         assert {r.log_id: (r.status, r.category) for r in verdicts.collect()} == want
 
 
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_reports_come_back_as_they_were_written(spark, tmp_path, fmt):
+    logs = make_logs(spark, ("a", "FAIL", ""), ("b", None, "INFO é\nERROR pool exhausted\n"), ("c", None, ""), ("d", "PASS", ""))
+    results = analyze_logs(logs.drop("text"), text_entries(logs))
+    path = str(tmp_path / "out")
+    sinks.write_results(results, path, fmt, "r")
+    back = sinks.read_results(spark, path, fmt)
+    assert back.where("problem IS NOT NULL").count() == 0
+    key = lambda r: r.log_id
+    assert sorted(back.select(*results.columns).collect(), key=key) == sorted(results.collect(), key=key)
+    with pytest.raises(Exception, match="stats|INVALID|CAST"):
+        sinks.write_results(results.withColumn("stats", F.lit("many")), path, fmt, "r")
+
+
+def test_damaged_reports_are_seen(spark, tmp_path):
+    logs = make_logs(spark, ("b", None, "ERROR pool exhausted\n"))
+    sinks.write_results(analyze_logs(logs.drop("text"), text_entries(logs)), str(tmp_path / "out"), "json", "r")
+    (file,) = (tmp_path / "out" / "run_id=r").glob("part-*.json")
+    good = json.loads(file.read_text())
+    changes = {
+        None: {}, "overall_status": {"overall_status": "fine"}, "incidents": {"incidents": None}, "stats": {"stats": {"total_lines": 1}},
+        "severity": {"incidents": [good["incidents"][0] | {"severity": "urgent"}]}, "confidence": {"incidents": [good["incidents"][0] | {"confidence": 1.5}]},
+        "possible_solutions": {"incidents": [good["incidents"][0] | {"possible_solutions": []}]},
+        "evidence": {"incidents": [good["incidents"][0] | {"evidence": [{"line_number": 1}]}]},
+    }
+    folder = tmp_path / "damaged" / "run_id=r"
+    folder.mkdir(parents=True)
+    (folder / "part-0.json").write_text("\n".join([*(json.dumps(good | {"log_id": str(k)} | c) for k, c in changes.items()), "no json"]) + "\n")
+    found = {r.log_id: r.problem for r in sinks.read_results(spark, str(tmp_path / "damaged")).collect()}
+    assert found == {str(k): k for k in changes} | {None: "analysis_id"}
+
+
 @pytest.mark.parametrize("chunk_lines", [1, 3, 1000])
 def test_patterns_across_lines_are_seen(spark, chunk_lines):
     rng = random.Random(6)
