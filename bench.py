@@ -1,4 +1,4 @@
-"""Time the headline queries; prints one JSON line."""
+"""Time the headline queries, the better of two runs each; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ HEADLINES = (
     "incident_report",
     "assemble_result",
 )
+RUNS = 2
 
 
 def main() -> None:
@@ -30,9 +31,12 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executors
     seconds = {}
     for name in HEADLINES:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(RUNS):  # the first one also compiles
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        seconds[name] = round(min(runs), 3)
     print(
         json.dumps(
             {

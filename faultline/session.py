@@ -59,14 +59,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/faultline/{name}-{uuid.uuid4().hex}"
 
 
-def write_once(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+def write_once(df: DataFrame, name: str, by: Sequence[str] = (), compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the scratch folder, in folders by the columns ``by``, and read it back.
 
     For a table that several branches of a job read: it is computed once, its
     columns stay prunable, and losing an executor costs no recomputation.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path)
+    df.write.option("compression", compression).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
