@@ -59,6 +59,7 @@ def captures(pages: DataFrame) -> DataFrame:
             F.monotonically_increasing_id().alias("serial"),
         ).withColumn("digest", F.sha2("html", 256)),
         "pages",
+        compression="zstd",  # markup takes half the room
     )
     firsts = write_once(
         own.where((F.octet_length("html") >= REVISIT_FROM) & F.col("page_id").isNotNull())
