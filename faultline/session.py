@@ -29,14 +29,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+#: Rows that a task of a dealt-out scan reads at most.
+ROWS_A_TASK = 25_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer tasks than the cluster has cores.
+    """Deal out the rows of a scan of which one task reads more than its share.
 
-    A file of one row group is read by one task, whatever its split count.  A
-    scan with enough tasks stays as it is, so large data is never shuffled.
+    A row group is read by one task, however many splits its file has, so other
+    tasks of the scan may be empty.  The rows of each task are counted, which
+    reads no column.  A scan that is even enough stays as it is: large tables of
+    many row groups are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.groupBy(F.spark_partition_id().alias("task")).count()
+    found = tasks.agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    if 2 * cores * (found.most or 0) <= (found.rows or 0):
+        return df
+    return df.repartition(cores * -(-found.rows // (cores * ROWS_A_TASK)))
 
 
 @cache
