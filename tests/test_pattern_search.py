@@ -67,3 +67,22 @@ def test_empty_tables(spark):
     entries = text_entries(logs)
     assert P.search_pattern_table(entries.limit(0), patterns).count() == 0
     assert P.search_pattern_table(entries, patterns.limit(0)).count() == 0
+
+
+def test_lines_meet_their_patterns_in_parts_and_once(spark, monkeypatch):
+    monkeypatch.setattr(P, "_BLOCK_PATTERNS", 3)
+    monkeypatch.setattr(P, "_PART_LINES", 7)
+    dice = random.Random(3)
+    rows = [(log, n, "".join(dice.choices(PIECES, k=dice.randrange(1, 7)))) for log, lines in (("big", 90), ("small", 5), (None, 20)) for n in range(lines)]
+    entries = spark.createDataFrame(
+        [(log, n, n + 1, "INFO", None, None, raw) for log, n, raw in rows],
+        "log_id string, pos bigint, line_number bigint, level string, time string, source string, raw string",
+    )
+    asked = {(log, p) for log in ("big", "small", None) for p in PATTERNS[:-5] if dice.random() < 0.6}
+    expected = {(log, p, n) for log, n, raw in rows for of, p in asked if of in (None, log) and re.search(p, raw, re.IGNORECASE)}
+    patterns = spark.createDataFrame([*asked], "log_id string, pattern string")
+    found = P.search_pattern_table(entries, patterns, 1000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # nothing runs once for each letter of a line
+    found = found.collect()
+    assert len(found) == len(expected) and {(r.log_id, r.pattern, r.line_number - 1) for r in found} == expected
