@@ -165,4 +165,6 @@ def search_pattern_table(entries: DataFrame, patterns: DataFrame, limit: int | N
     twice = known.groupBy("pattern").agg(F.bool_or(F.col("_p_log").isNull()).alias("_all"), F.count("*").alias("_n"))
     if twice.where("_all AND _n > 1").limit(1).count():
         hits = hits.dropDuplicates(["log_id", "pattern", "pos"])
+    if limit is None:  # sorting over all tasks reads its rows twice, to sample and to deal them out
+        hits = write_once(hits, "hits")
     return ranked_hits(hits, ["log_id", "pattern"], limit)
