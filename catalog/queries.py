@@ -203,14 +203,12 @@ def line_query(name: str, value: Callable[[Column], Column]) -> Query:
 def log_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder with one text file per user log, written from all events."""
     path = scratch_path(spark, "files")
-    lines = C.event_lines(spark, sf_dir)
-    ordered = lines.repartition("log_id").sortWithinPartitions("log_id", "pos")
-    ordered.select("log_id", "raw").write.partitionBy("log_id").text(path)
+    sinks.write_log_files(C.event_lines(spark, sf_dir), path)
     return path
 
 
 def log_name(path: str) -> Column:
-    return F.regexp_extract(path, "log_id=([^/]+)/", 1)
+    return F.regexp_extract(path, "log_id=([^/]+)[.]log$", 1)
 
 
 def read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

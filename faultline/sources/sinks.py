@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +90,42 @@ def read_results(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     seen and not lost.
     """
     return spark.read.schema(REPORT).format(fmt).load(path).withColumn("problem", report_problem())
+
+
+#: Folders that log files are dealt out to.
+LOG_FOLDERS = 64
+#: Name of the file with the lines of no log.
+NO_LOG = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_log_files(lines: DataFrame, path: str) -> int:
+    """Write ``(log_id, pos, raw)`` as one text file per log, ``folder=<n>/log_id=<name>.log``; returns their number.
+
+    Spark's writer makes a folder per value, which costs more than the lines of
+    a small log and makes readers list as many folders as there are logs.  Each
+    task streams its logs, sorted, to Arrow's file system, so ``path`` must be
+    one that Arrow can open, and without a scheme a folder that all executors
+    share.  A file gets its name when it is whole; a repeated task replaces it.
+    """
+    fs, root = FileSystem.from_uri(path)
+    for n in range(LOG_FOLDERS):  # so that a table without lines can be read, too
+        fs.create_dir(f"{root}/folder={n}", recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(path)
+        rows = ((log, raw) for b in batches for log, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        files = 0
+        for log, found in groupby(rows, key=lambda row: row[0]):
+            folder, name = f"{root}/folder={zlib.crc32(log.encode()) % LOG_FOLDERS}", f"log_id={quote(log, safe='')}.log"
+            part = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(part, buffer_size=1 << 16) as out:
+                for _, raw in found:
+                    out.write(raw.encode() + b"\n")
+            fs.move(part, f"{folder}/{name}")
+            files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+    log = F.when(F.col("log_id") != "", F.col("log_id")).otherwise(NO_LOG).alias("log_id")
+    ordered = lines.select(log, "pos", "raw").repartition("log_id").sortWithinPartitions("log_id", "pos")
+    written = ordered.select("log_id", "raw").mapInArrow(run, "files bigint")
+    return written.agg(F.sum("files").alias("files")).first().files or 0
