@@ -208,7 +208,7 @@ def log_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def log_name(path: str) -> Column:
-    return F.regexp_extract(path, "log_id=([^/]+)[.]log$", 1)
+    return F.regexp_extract(path, "log_id=([^/]+?)(?:[.]log$|/)", 1)
 
 
 def read_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

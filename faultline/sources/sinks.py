@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
@@ -98,15 +98,25 @@ LOG_FOLDERS = 64
 NO_LOG = "__HIVE_DEFAULT_PARTITION__"
 
 
-def write_log_files(lines: DataFrame, path: str) -> int:
-    """Write ``(log_id, pos, raw)`` as one text file per log, ``folder=<n>/log_id=<name>.log``; returns their number.
+def _is_folder(path: str) -> bool:
+    """Whether tasks can open files below ``path`` by themselves: a local or mounted folder."""
+    return urlsplit(path).scheme in ("", "file")
+
+
+def write_log_files(lines: DataFrame, path: str) -> None:
+    """Write ``(log_id, pos, raw)`` as one text file per log, ``folder=<n>/log_id=<name>.log``.
 
     Spark's writer makes a folder per value, which costs more than the lines of
-    a small log and makes readers list as many folders as there are logs.  Each
-    task streams its logs, sorted, to Arrow's file system, so ``path`` must be
-    one that Arrow can open, and without a scheme a folder that all executors
-    share.  A file gets its name when it is whole; a repeated task replaces it.
+    a small log and makes readers list as many folders as there are logs; it is
+    used, as ``log_id=<name>/<part>``, where ``path`` is no folder that all
+    executors share.  Else each task streams its logs, sorted, to files.  A file
+    gets its name when it is whole; a repeated task replaces it.
     """
+    log = F.when(F.col("log_id") != "", F.col("log_id")).otherwise(NO_LOG).alias("log_id")
+    ordered = lines.select(log, "pos", "raw").repartition("log_id").sortWithinPartitions("log_id", "pos").drop("pos")
+    if not _is_folder(path):
+        ordered.write.partitionBy("log_id").text(path)
+        return
     fs, root = FileSystem.from_uri(path)
     for n in range(LOG_FOLDERS):  # so that a table without lines can be read, too
         fs.create_dir(f"{root}/folder={n}", recursive=True)
@@ -125,7 +135,4 @@ def write_log_files(lines: DataFrame, path: str) -> int:
             files += 1
         yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
 
-    log = F.when(F.col("log_id") != "", F.col("log_id")).otherwise(NO_LOG).alias("log_id")
-    ordered = lines.select(log, "pos", "raw").repartition("log_id").sortWithinPartitions("log_id", "pos")
-    written = ordered.select("log_id", "raw").mapInArrow(run, "files bigint")
-    return written.agg(F.sum("files").alias("files")).first().files or 0
+    ordered.mapInArrow(run, "files bigint").agg(F.sum("files")).collect()
