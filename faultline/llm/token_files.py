@@ -7,6 +7,7 @@ its part; parts are doc_id ranges in order.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from functools import cache
@@ -23,7 +24,7 @@ from faultline.llm.units import Units
 from faultline.session import scratch_path, write_once
 
 BLOCK_IDS = 1 << 17
-SOME_TEXTS, SOME_WORDS = 200, 256
+SOME_TEXTS, SOME_WORDS, SOME_ROWS = 200, 256, 1000
 SPACE = "Ġ"  # as byte-level vocabularies spell it
 END_ID = 0
 
@@ -57,6 +58,16 @@ def _units(path: str) -> Units:
     return Units(whole, words)
 
 
+def _forget() -> None:
+    """Gives back what ``tokenize`` keeps in a Python worker, which also runs tasks of the later steps."""
+    if _units.cache_info().currsize:
+        _units.cache_clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """``doc_id, ids``: little-endian ids of each text with ``end_id`` behind, 2 bytes each if all fit, else 4.
 
@@ -66,7 +77,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _units(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(at, SOME_ROWS) for whole in batches for at in range(0, len(whole), SOME_ROWS)):
             rows = []
             for coded in units.encode_texts(batch.column(1).to_pylist()):
                 ids = np.frombuffer(coded + end, "<u4")
@@ -82,21 +93,22 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, "<u2" if packed[0] == 2 else "<u4", offset=1)
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _forget()
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            found = np.bincount(unpack(packed))
+            if len(found) > len(total):
+                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+            total[: len(found)] += found
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
+
+
 def id_counts(tokens: DataFrame) -> dict[int, int]:
     """Occurrences of each id over all rows: at most one number per id of the vocabulary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                found = np.bincount(unpack(packed))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
-
-    rows = tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = tokens.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return {r.id: r.n for r in rows.collect()}
 
 
@@ -110,6 +122,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     kind = dict(tokens.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         waiting: list[np.ndarray] = []

@@ -13,8 +13,8 @@ from collections.abc import Callable, Sequence
 
 from faultline.llm.recent import Recent
 
-LIMIT = 400_000
-BATCH_CHARS = 2_000_000  # texts encoded together, so that a batch's words stay few
+LIMIT = 200_000
+BATCH_CHARS = 1_000_000  # texts encoded together, so that a batch's words stay few
 WORD_CHARS = 64
 _ODD = re.compile(r" (?:\s|$)")
 

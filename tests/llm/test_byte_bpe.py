@@ -96,3 +96,10 @@ def test_tables_with_odd_rows(spark):
         assert row.start == at
         at += row.n_tokens
     assert [r.doc_id for r in sorted(index, key=lambda r: r.start)] == [1, 1, 2, 3, 3, 4]
+
+
+def test_later_steps_in_a_worker_do_not_hold_the_memo():
+    token_files._units(JSON).encode_texts(TEXTS)
+    assert token_files._units.cache_info().currsize
+    assert [batch.num_rows for batch in token_files._count(iter([]))] == [0]
+    assert not token_files._units.cache_info().currsize
