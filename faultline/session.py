@@ -31,6 +31,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 #: Rows that a task of a dealt-out scan reads at most.
 ROWS_A_TASK = 25_000
+#: Rows that a task of a scan may read before the scan is dealt out, however even it is.
+MOST_ROWS = 4 * ROWS_A_TASK
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -38,13 +40,14 @@ def spread(df: DataFrame) -> DataFrame:
 
     A row group is read by one task, however many splits its file has, so other
     tasks of the scan may be empty.  The rows of each task are counted, which
-    reads no column.  A scan that is even enough stays as it is: large tables of
-    many row groups are not shuffled.
+    reads no column.  A scan that is even enough stays as it is, unless its tasks
+    read more than ``MOST_ROWS``: splits are limited by bytes, so the tasks of
+    narrow tables would grow with the table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     tasks = df.groupBy(F.spark_partition_id().alias("task")).count()
     found = tasks.agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
-    if 2 * cores * (found.most or 0) <= (found.rows or 0):
+    if 2 * cores * (found.most or 0) <= (found.rows or 0) and (found.most or 0) <= MOST_ROWS:
         return df
     return df.repartition(cores * -(-found.rows // (cores * ROWS_A_TASK)))
 

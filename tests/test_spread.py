@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from faultline.session import spread
+from faultline.session import MOST_ROWS, spread
 
 
 def rows_by_task(df):
@@ -37,3 +37,20 @@ def test_even_and_empty_scans_stay(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_even_scans_of_many_rows_a_task_are_dealt_out(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    path = str(tmp_path / "narrow.parquet")
+    rows = (MOST_ROWS + 20_000) * 2 * cores
+    spark.range(0, rows, 1, 2 * cores).write.parquet(path)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 20))
+    try:
+        scan = spark.read.parquet(path)
+        assert 2 * cores * max(rows_by_task(scan)) <= 1.1 * rows
+        dealt = rows_by_task(spread(scan))
+        assert max(dealt) <= MOST_ROWS / 2 and sum(dealt) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
