@@ -19,13 +19,14 @@ class Recent:
         self.young: dict[Hashable, Any] = {}
         self.old: dict[Hashable, Any] = {}
 
-    def _age(self) -> None:
+    def age(self) -> None:
+        """Makes the young answers old if they are too many; asking does so by itself, first thing."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
 
     def each(self, keys: Sequence[Hashable], ask: Callable[[Any], Any]) -> list:
         """Answer of every key; ``ask`` gives an unknown one."""
-        self._age()
+        self.age()
         young, old = self.young, self.old
         found = list(map(young.get, keys))
         if not all(found):
@@ -38,7 +39,7 @@ class Recent:
 
     def learn(self, keys: Sequence[Hashable], ask: Callable[[list], Sequence]) -> None:
         """Makes the answers of distinct ``keys`` young; ``ask`` gives all unknown ones at once."""
-        self._age()
+        self.age()
         young, old = self.young, self.old
         missing = []
         for key in keys:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from faultline.llm import rans
 from faultline.llm.common import text_of
 from faultline.llm.units import Units
-from faultline.session import scratch_path, write_once
+from faultline.session import arrow_rows, scratch_path, write_once
 
 BLOCK_IDS = 1 << 17
 SOME_TEXTS, SOME_WORDS, SOME_ROWS = 200, 256, 1000
@@ -51,11 +51,11 @@ def _units(path: str) -> Units:
         for i in range(0, len(some), SOME_WORDS):
             part = some[i : i + SOME_WORDS]
             (ids,) = encode(["".join([" " + w for w in part])])
-            starts = [*np.flatnonzero(spaced[ids]).tolist(), len(ids)]
-            coded += [ids[a:b].tobytes() for a, b in zip(starts, starts[1:], strict=False)]
+            starts = [*(4 * np.flatnonzero(spaced[ids])).tolist(), ids.nbytes]
+            coded += map(ids.tobytes().__getitem__, map(slice, starts, starts[1:]))
         return coded
 
-    return Units(whole, words)
+    return Units(whole, words, [token.content for token in tokenizer.get_added_tokens_decoder().values()])
 
 
 def _forget() -> None:
@@ -97,8 +97,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _forget()
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for packed in batch.column(0).to_pylist():
-            found = np.bincount(unpack(packed))
+        for at in range(0, len(batch), SOME_TEXTS):
+            found = np.bincount(np.concatenate([unpack(p) for p in batch.column(0).slice(at, SOME_TEXTS).to_pylist()]))
             if len(found) > len(total):
                 total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
             total[: len(found)] += found
@@ -114,6 +114,11 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """Writes the file set.  Repeated doc_ids lie side by side, null ones come first; no rows give no blocks."""
+    with arrow_rows(docs.sparkSession, SOME_ROWS):
+        _write(docs, tokenizer, path, end_id)
+
+
+def _write(docs: DataFrame, tokenizer: str, path: str, end_id: int) -> None:
     tokens = write_once(tokenize(docs, tokenizer, end_id), "tokens")
     spark = docs.sparkSession
     table = rans.Table(id_counts(tokens))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +84,19 @@ def write_once(df: DataFrame, name: str, by: Sequence[str] = (), compression: st
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside hand Python at most ``rows`` rows at once, as a batch of long texts is held several times over."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    most = int(before)
+    spark.conf.set(setting, str(min(rows, most) if most > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 #: Largest table that is sent to every executor.
 BROADCAST_BYTES = 64 << 20
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("faultline.llm")
@@ -103,3 +104,42 @@ def test_later_steps_in_a_worker_do_not_hold_the_memo():
     assert token_files._units.cache_info().currsize
     assert [batch.num_rows for batch in token_files._count(iter([]))] == [0]
     assert not token_files._units.cache_info().currsize
+
+
+def test_a_mark_behind_a_letter_needs_no_encoding_of_its_own():
+    units = token_files._units(JSON)
+    memo, words, asked = units.memo, units.words, []
+    text = "x stem stem, stem. stem$ stem' stem'' 's 's, 12. é, été! a\t. . \" stem\u3002 x" + " stem;\nnext" + " it's" * 2
+    try:
+        units.memo, units.words = Recent(1000), lambda some: asked.extend(some) or words(some)
+        coded = units.encode_texts([text, "y stem# <|endoftext|> stem,", text])
+    finally:
+        units.memo, units.words = memo, words
+    tokenizer = Tokenizer.from_file(JSON)
+    for ids, own in zip(coded, [text, "y stem# <|endoftext|> stem,", text], strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(own, add_special_tokens=False).ids
+    assert "stem" in asked and not {"stem,", "stem.", "stem$", "stem#", "<|endoftext|>"} & set(asked)
+    assert len(asked) == len(set(asked))
+
+
+def test_tokenising_hands_python_few_rows_at_once(spark, monkeypatch, tmp_path):
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(setting)
+    store, count = token_files.write_once, token_files.id_counts
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    def stored(df, *args, **named):
+        found = spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n bigint").collect()
+        seen.append(max(r.n for r in found))
+        return store(df, *args, **named)
+
+    monkeypatch.setattr(token_files, "write_once", stored)
+    monkeypatch.setattr(token_files, "id_counts", lambda tokens: seen.append(int(spark.conf.get(setting))) or count(tokens))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id bigint, text string")
+    token_files.write_tokens(docs, JSON, str(tmp_path / "set"))
+    assert seen == [token_files.SOME_ROWS] * 2
+    assert spark.conf.get(setting) == before
+    assert token_files.read_tokens(spark, str(tmp_path / "set")).count() == 9
